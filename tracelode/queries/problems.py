@@ -11,6 +11,7 @@ from tracelode.operators.packed import packed_choices
 from tracelode.operators.regular_grid import regular_grid
 from tracelode.operators.sessions import sessions
 from tracelode.operators.stamps import normalise_stamps
+from tracelode.operators.stops import HOUR_MS, stops_and_trips
 from tracelode.session import fresh_dir
 from tracelode.sources.tables import load
 
@@ -51,6 +52,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readable.select("tbl", "record_id", F.explode("found").alias("utc_ms"))
 
 
+def p6_stops_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stops_and_trips(load(spark, sf_dir, "gps"))
+    return found.withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hundredths = lambda c: F.floor(F.col(c) * 100).cast("long").alias(c)
+    return (
+        p6_stops_trips(spark, sf_dir)
+        .select("participant", "kind", F.floor(F.col("start_ms") / HOUR_MS).cast("long").alias("start_hour"), *map(hundredths, ("from_lat", "from_lon", "to_lat", "to_lon")))
+        .distinct()
+    )
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_choices(load(spark, sf_dir, "survey_answers"), load(spark, sf_dir, "survey_history"), stamp_ms(F.col("file_time")))
 
@@ -86,5 +101,7 @@ QUERIES = {
     "p3_grid": p3_grid,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_stops_trips": p6_stops_trips,
     "p7_found": p7_found,
 }

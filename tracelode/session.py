@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,8 +27,26 @@ def build_session(app: str = "tracelode", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers once per application, wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tracelode-")) / "tracelode.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
+
+
 def pin(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to a session made elsewhere."""
+    """Apply the run-time settings to a session made elsewhere and ship the package to its workers."""
+    _ship(spark)
     for key, value in PINNED.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
