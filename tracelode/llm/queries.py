@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions.instants import stamp_ms, survey_instant
+from tracelode.llm.leakage import leaked_items
+from tracelode.llm.mojibake import garbled_documents, restored_documents
 from tracelode.llm.nearest import nearest_by_ticks
+from tracelode.llm.tokenizer import encode_corpus
 from tracelode.sources.tables import load
 
 
@@ -18,6 +21,26 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_by_ticks(files, submissions, ["participant", "survey_id"], "answers_ms", "timings_ms", 30 * 60_000)
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(load(spark, sf_dir, "documents"))
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_leaks(spark, sf_dir).where("n_exact > 0").select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled_documents(spark, load(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restored_documents(spark, load(spark, sf_dir, "documents"))
+
+
 _P1 = """
 WITH s AS (SELECT DISTINCT participant, survey_id, coalesce(CASE WHEN abs("timestamp") < 100000000000 THEN "timestamp" * 1000
    WHEN abs("timestamp") < 100000000000000 THEN "timestamp" WHEN abs("timestamp") < 100000000000000000 THEN "timestamp" // 1000
@@ -28,5 +51,18 @@ WITH s AS (SELECT DISTINCT participant, survey_id, coalesce(CASE WHEN abs("times
    FROM f JOIN s ON f.participant = s.participant AND f.survey_id = s.survey_id AND abs(t - a) <= 1800000)
 SELECT participant, survey_id, a AS answers_ms, t AS timings_ms FROM j WHERE r = 1"""
 
-QUERIES = {"p1_found": p1_found}
-ORACLE = {"p1_found": _P1}
+_P9 = """
+WITH w AS (SELECT doc_id AS id, false AS item, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT item_id, true, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') FROM eval_items),
+ g AS (SELECT id, item, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i+11], ' '))) AS s FROM w WHERE len(ws) >= 12)
+SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM g d JOIN g e ON d.s = e.s AND NOT d.item AND e.item"""
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
+}
+ORACLE = {"p1_found": _P1, "p9_found": _P9}
