@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that may stand between values, open or close a list, or quote a value.
-DELIMITERS = frozenset(";,|\t\n\r；，、")
-OPENING, CLOSING, QUOTES, BLANKS = frozenset("[({"), frozenset("])}"), frozenset("\"'"), frozenset("   ​﻿")
+DELIMITERS = frozenset(";,|\t\n\r\uff1b\uff0c\u3001")
+OPENING, CLOSING, QUOTES = frozenset("[({"), frozenset("])}"), frozenset("\"'")
+BLANKS = frozenset(" \u00a0\u2002\u2003\u2009\u200b\u202f\u3000\ufeff")
 ABSENT = ("", "NOT_PRESENTED", "NO_ANSWER_SELECTED")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
