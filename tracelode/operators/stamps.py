@@ -58,6 +58,11 @@ COMPONENTS = {
 _MARK = "\u0001"
 
 
+def _whole_number(text: Column) -> Column:
+    """A run of digits as a number, else null; failing casts would cost an exception each."""
+    return F.when((F.length(text) > 0) & (F.translate(text, "0123456789", "") == ""), text.cast("long"))
+
+
 def _div(value: Column, by: int) -> Column:
     return F.call_function("div", value, F.lit(by).cast("long"))
 
@@ -102,10 +107,10 @@ def normalise_stamps(df: DataFrame, raw: str, zone: str, day_first: str, out: st
     kept = df.columns
     # Each step is a projection of its own: columns used more than once stay shared and small.
     df = df.select(*kept, F.when(F.startswith(packed, F.lit(_MARK)), F.split(packed, _MARK)).alias("_p"))
-    df = df.select(*kept, "_p", F.transform("_p", lambda x: x.try_cast("long")).alias("_n"))
+    df = df.select(*kept, "_p", F.transform("_p", _whole_number).alias("_n"))
     text = {n: F.get(F.col("_p"), F.lit(i + 1)) for i, n in enumerate(names)}  # empty where the notation lacks the component
     number = lambda n: F.get(F.col("_n"), F.lit(names.index(n) + 1))
-    thousandths = lambda c: F.rpad(F.substring(c, 1, 3), 3, "0").try_cast("long")
+    thousandths = lambda c: F.rpad(F.substring(c, 1, 3), 3, "0").cast("long")
     given = lambda n: F.length(text[n]) > 0
 
     first_is_day = F.coalesce(F.col(day_first), F.lit(False))
@@ -135,13 +140,13 @@ def normalise_stamps(df: DataFrame, raw: str, zone: str, day_first: str, out: st
         F.coalesce(F.nullif(text["zone"], F.lit("")), F.nullif(F.trim(F.col(zone)), F.lit("")), F.lit("UTC")).alias("_zone"),
     )
     y, mo, d, h, mi, sec = (F.col(f"_{n}") for n in ("y", "mo", "d", "h", "mi", "s"))
-    size, count = F.length("_count"), F.col("_count").try_cast("long")
+    size, count = F.length("_count"), _whole_number(F.col("_count"))
     counted = (
         F.when(size == 0, F.lit(None).cast("long"))
         .when(size <= 10, count * 1000 + F.col("_count_rest"))
         .when(size <= 13, count)
-        .when(size <= 16, F.expr("CAST(_count AS BIGINT) DIV 1000"))
-        .otherwise(F.expr("CAST(_count AS BIGINT) DIV 1000000"))
+        .when(size <= 16, _div(count, 1000))
+        .otherwise(_div(count, 1_000_000))
     )
     date_ok = mo.between(1, 12) & (d >= 1) & (d <= month_length(y, mo, F.col("_ordinal")))
     hour_ok = F.when(F.col("_half").isNotNull(), h.between(1, 12)).otherwise(h.between(0, 23) | ((h == 24) & (mi == 0) & (sec == 0) & F.col("_whole")))

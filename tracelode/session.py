@@ -14,6 +14,8 @@ PINNED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot never compiles methods beyond this; such stages run operator by operator instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
