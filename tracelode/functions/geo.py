@@ -27,3 +27,18 @@ def bounding_box(lat: Column, lon: Column, radius_m: float) -> tuple[Column, Col
     dlat = F.lit(math.degrees(radius_m / EARTH_RADIUS_M))
     dlon = dlat / F.cos(F.radians(lat))
     return lat - dlat, lon - dlon, lat + dlat, lon + dlon
+
+
+def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    a, b = F.radians(lat), F.radians(lon)
+    return F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)
+
+
+def great_circle_offset_m(lat: Column, lon: Column, lat0: Column, lon0: Column, lat1: Column, lon1: Column) -> Column:
+    """Distance of a point from the great circle through two others; 0 where those are one spot (1e-6 degrees)."""
+    a, b, c = unit_vector(lat0, lon0), unit_vector(lat1, lon1), unit_vector(lat, lon)
+    n = (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    size = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]) + 1e-6
+    cosine = (n[0] * c[0] + n[1] * c[1] + n[2] * c[2]) / size
+    away = F.abs(F.lit(math.pi / 2) - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))) * EARTH_RADIUS_M
+    return F.when((F.abs(lat0 - lat1) < 1e-6) & (F.abs(lon0 - lon1) < 1e-6), 0.0).otherwise(away)
