@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.functions.arrow_groups import key_runs
 from tracelode.functions.geo import EARTH_RADIUS_M, wrap_longitude
 from tracelode.functions.instants import sensor_instant
 
@@ -163,36 +164,10 @@ def day_tokens(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, rule: StopRule)
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[np.ndarray]]]:
-    """(key, columns) of each run of equal keys in a sorted stream; the first ``keys`` columns are the key."""
-    key: tuple | None = None
-    parts: list[list[np.ndarray]] = []
-
-    def whole() -> list[np.ndarray]:
-        return [np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*parts, strict=True)]
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        heads = [batch.column(i).dictionary_encode() for i in range(keys)]
-        codes = [h.indices.to_numpy() for h in heads]
-        cuts = np.flatnonzero(np.any([np.r_[True, c[1:] != c[:-1]] for c in codes], axis=0)).tolist() + [batch.num_rows]
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys, batch.num_columns)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            new = tuple(h.dictionary[int(c[a])].as_py() for h, c in zip(heads, codes, strict=True))
-            if key is not None and new != key:
-                yield key, whole()
-                parts = []
-            key = new
-            parts.append([c[a:b] for c in columns])
-    if key is not None:
-        yield key, whole()
-
-
 def _first_level(rule: StopRule) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for (who, _), (t, lat, lon) in _groups(batches, 2):
+        for (who, _), (t, lat, lon) in key_runs(batches, 2):
             rows += [(who, *token) for token in day_tokens(t, lat, lon, rule)]
             if len(rows) > 20_000:
                 yield _batch(rows)
