@@ -103,17 +103,19 @@ def normalise_stamps(df: DataFrame, raw: str, zone: str, day_first: str, out: st
     """
     names = list(COMPONENTS)
     replacement = _MARK + _MARK.join("".join(f"${{{g}}}" for g in COMPONENTS[n]) for n in names)
-    packed = F.regexp_replace(F.col(raw), F.lit(ALTERNATION), F.lit(replacement))
-    kept = df.columns
+    # The row itself travels as one struct, so its column names can't clash with those made here.
+    df = df.select(F.struct("*").alias("_row"), F.col(raw).alias("_raw"), F.col(zone).alias("_given_zone"), F.col(day_first).alias("_day_first"))
+    packed = F.regexp_replace(F.col("_raw"), F.lit(ALTERNATION), F.lit(replacement))
+    kept = ["_row"]
     # Each step is a projection of its own: columns used more than once stay shared and small.
-    df = df.select(*kept, F.when(F.startswith(packed, F.lit(_MARK)), F.split(packed, _MARK)).alias("_p"))
-    df = df.select(*kept, "_p", F.transform("_p", _whole_number).alias("_n"))
+    df = df.select(*kept, "_given_zone", "_day_first", F.when(F.startswith(packed, F.lit(_MARK)), F.split(packed, _MARK)).alias("_p"))
+    df = df.select(*kept, "_given_zone", "_day_first", "_p", F.transform("_p", _whole_number).alias("_n"))
     text = {n: F.get(F.col("_p"), F.lit(i + 1)) for i, n in enumerate(names)}  # empty where the notation lacks the component
     number = lambda n: F.get(F.col("_n"), F.lit(names.index(n) + 1))
     thousandths = lambda c: F.rpad(F.substring(c, 1, 3), 3, "0").cast("long")
     given = lambda n: F.length(text[n]) > 0
 
-    first_is_day = F.coalesce(F.col(day_first), F.lit(False))
+    first_is_day = F.coalesce(F.col("_day_first"), F.lit(False))
     named_month = F.when(given("month_name"), (F.instr(F.lit(MONTHS), F.lower(F.substring(text["month_name"], 1, 3))) + 2) / 3).cast("long")
     abbreviations = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
     sign = F.when(text["sign"] == "-", -1).otherwise(1)
@@ -137,7 +139,7 @@ def normalise_stamps(df: DataFrame, raw: str, zone: str, day_first: str, out: st
         .alias("_shift"),
         (number("zone_h").between(0, 18) & F.coalesce(number("zone_m"), F.lit(0)).between(0, 59)).alias("_shift_ok"),
         (given("sign") | given("utc") | given("abbreviation")).alias("_shifted"),
-        F.coalesce(F.nullif(text["zone"], F.lit("")), F.nullif(F.trim(F.col(zone)), F.lit("")), F.lit("UTC")).alias("_zone"),
+        F.coalesce(F.nullif(text["zone"], F.lit("")), F.nullif(F.trim("_given_zone"), F.lit("")), F.lit("UTC")).alias("_zone"),
     )
     y, mo, d, h, mi, sec = (F.col(f"_{n}") for n in ("y", "mo", "d", "h", "mi", "s"))
     size, count = F.length("_count"), _whole_number(F.col("_count"))
@@ -166,4 +168,4 @@ def normalise_stamps(df: DataFrame, raw: str, zone: str, day_first: str, out: st
     )
     shifted = F.when(F.coalesce(F.col("_shift_ok"), F.lit(True)), F.col("_wall") - F.col("_shift") * 60_000)
     result = F.coalesce("_counted", F.when(F.col("_shifted"), shifted).when(F.col("_known"), _wall_to_utc(F.col("_wall"), F.col("_zone"))))
-    return df.select(*kept, result.cast("long").alias(out))
+    return df.select("_row.*", result.cast("long").alias(out))
