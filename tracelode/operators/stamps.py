@@ -56,6 +56,8 @@ COMPONENTS = {
     "utc": ("zu", "z6"), "sign": ("zs",), "zone_h": ("zh",), "zone_m": ("zm",), "abbreviation": ("za",), "zone": ("zn",),
 }
 _MARK = "\u0001"
+#: Blanks that writers of dates put between the clock and AM or PM, or around a value.
+WIDE_BLANKS = "\u00a0\u2002\u2003\u2007\u2009\u202f\u3000"
 
 
 def _whole_number(text: Column) -> Column:
@@ -105,7 +107,8 @@ def normalise_stamps(df: DataFrame, raw: str, zone: str, day_first: str, out: st
     replacement = _MARK + _MARK.join("".join(f"${{{g}}}" for g in COMPONENTS[n]) for n in names)
     # The row itself travels as one struct, so its column names can't clash with those made here.
     df = df.select(F.struct("*").alias("_row"), F.col(raw).alias("_raw"), F.col(zone).alias("_given_zone"), F.col(day_first).alias("_day_first"))
-    packed = F.regexp_replace(F.col("_raw"), F.lit(ALTERNATION), F.lit(replacement))
+    plain = F.translate("_raw", WIDE_BLANKS, " " * len(WIDE_BLANKS))
+    packed = F.regexp_replace(plain, F.lit(ALTERNATION), F.lit(replacement))
     kept = ["_row"]
     # Each step is a projection of its own: columns used more than once stay shared and small.
     df = df.select(*kept, "_given_zone", "_day_first", F.when(F.startswith(packed, F.lit(_MARK)), F.split(packed, _MARK)).alias("_p"))
