@@ -15,7 +15,7 @@ from tracelode.sources.tables import load
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = load(spark, sf_dir, "survey_answers").select("participant", "survey_id", stamp_ms(F.col("file_time")).alias("answers_ms"))
-    named = F.lower(F.regexp_replace("event", r"^\s+|\s+$", "")) == "submitted"
+    named = F.lower(F.regexp_replace("event", r"^[\s\u00a0]+|[\s\u00a0]+$", "")) == "submitted"
     control = F.col("event").isNull() & (F.col("question_id") == "User hit submit")
     submissions = load(spark, sf_dir, "survey_timings").where(named | control).select("participant", "survey_id", survey_instant().alias("timings_ms"))
     return nearest_by_ticks(files, submissions, ["participant", "survey_id"], "answers_ms", "timings_ms", 30 * 60_000)
