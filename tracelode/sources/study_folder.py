@@ -78,7 +78,7 @@ def read_stream(spark: SparkSession, folder: str, stream: str, start_s: int | No
     pin(spark)
     names = [n.strip("`") for n in _names(SCHEMAS[stream])]
     kinds = dict(zip(names, [f.split()[-1] for f in SCHEMAS[stream].split(", ")], strict=True))
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("wholetext", "true").option("ignoreCorruptFiles", "true").text(_place(folder, stream))
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("ignoreCorruptFiles", "true").text(_place(folder, stream), wholetext=True)
     path = F.col("_metadata.file_path")
     files = lines.select(F.col("value").cast("binary"), _part(path, folder, 0).alias("participant"), _part(path, folder, 2).alias("survey_folder"), F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("file_name"))
     stamp = file_name_epoch(F.col("file_name"))
