@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def key_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[np.ndarray]]]:
@@ -40,3 +41,19 @@ def key_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def sorted_groups(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Rows of each key together and in order, for a step whose cost is its own work, not its bytes.
+
+    The number of partitions is stated, so that small inputs aren't put into one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+
+
+def widened(scan: DataFrame) -> DataFrame:
+    """A scan dealt out evenly if its files give no more than half as many splits as there are cores."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan.repartition(cores) if splits * 2 <= cores else scan

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.functions.arrow_groups import key_runs, to_batch
+from tracelode.functions.arrow_groups import key_runs, sorted_groups, to_batch
 
 FS = 10
 STANDARD_GRAVITY = 9.80665
@@ -191,7 +191,7 @@ def walking_seconds(readings: DataFrame, source: str, instant: Column, bout_gap_
     for axis in ("x", "y", "z"):
         rows = rows.where(~F.isnan(axis))
     rows = rows.select("source", F.floor(F.col("t") / 86_400_000).alias("day"), "t", "x", "y", "z")
-    return rows.repartition("source", "day").sortWithinPartitions("source", "day", "t", "x", "y", "z").mapInArrow(_walk(bout_gap_s), "source string, second long, pp double, cadence double")
+    return sorted_groups(rows, ["source", "day"], "t", "x", "y", "z").mapInArrow(_walk(bout_gap_s), "source string, second long, pp double, cadence double")
 
 
 def gait_bins(seconds: DataFrame, width_s: int) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.functions.arrow_groups import key_runs
+from tracelode.functions.arrow_groups import key_runs, sorted_groups
 from tracelode.functions.geo import EARTH_RADIUS_M, wrap_longitude
 from tracelode.functions.instants import sensor_instant
 
@@ -149,7 +149,8 @@ def day_tokens(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, rule: StopRule)
             flush()
             head, tail = _arrival(x[run], y[run]), _arrival(x[run][::-1], y[run][::-1])
             barrier = before >= rule.leave_fixes
-            out.append((False, barrier, t0, t1, int(t[run[head]]), int(t[run[len(run) - 1 - tail]]), len(run), *centres[k], float(lat[a]), float(lon[a]), float(lat[b]), float(lon[b]), _path_m(lat[run], lon[run]), gap))
+            came, left = int(run[head]), int(run[len(run) - 1 - tail])  # approach and departure belong to the trips
+            out.append((False, barrier, t0, t1, int(t[came]), int(t[left]), len(run), *centres[k], float(lat[came]), float(lon[came]), float(lat[left]), float(lon[left]), _path_m(lat[run], lon[run]), gap))
         elif k not in lone:
             if moving is None:
                 moving = [True, True, t0, t1, t0, t1, len(run), *centres[k], float(lat[a]), float(lon[a]), float(lat[b]), float(lon[b]), _path_m(lat[run], lon[run]), gap]
@@ -308,10 +309,8 @@ def stops_and_trips(gps: DataFrame, rule: StopRule = StopRule()) -> DataFrame:
     fixes = clean_fixes(gps, rule).withColumn("bucket", F.floor(F.col("t") / F.lit(rule.bucket_ms)).cast("long"))
     rank = F.coalesce("accuracy", F.lit(float("inf")))
     tokens = (
-        fixes.select("participant", "bucket", "t", "lat", "lon", rank.alias("rank"))
-        .repartition("participant", "bucket")
-        .sortWithinPartitions("participant", "bucket", "t", "rank", "lat", "lon")
+        sorted_groups(fixes.select("participant", "bucket", "t", "lat", "lon", rank.alias("rank")), ["participant", "bucket"], "t", "rank", "lat", "lon")
         .drop("rank")
         .mapInArrow(_first_level(rule), _TOKEN_DDL)
     )
-    return tokens.repartition("participant").sortWithinPartitions("participant", "t0").mapInArrow(_second_level(rule), _ROW_DDL)
+    return sorted_groups(tokens, ["participant"], "t0").mapInArrow(_second_level(rule), _ROW_DDL)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracelode.functions.arrow_groups import key_runs, to_batch
+from tracelode.functions.arrow_groups import key_runs, sorted_groups, to_batch
 from tracelode.functions.geo import EARTH_RADIUS_M
 from tracelode.operators.mobility import chunks, collapse
 
@@ -214,14 +214,14 @@ def _per_participant(work: Callable[[str, np.ndarray], list], schema: pa.Schema)
 
 def by_participant(trajectory: DataFrame, work: Callable[[str, np.ndarray], list], schema: pa.Schema, ddl: str) -> DataFrame:
     """Applies ``work`` to each participant's ordered trajectory (columns status to obs)."""
-    ordered = trajectory.repartition("participant").sortWithinPartitions("participant", "t0").select(*TRAJECTORY_DDL.replace(",", " ").split()[::2])
+    ordered = sorted_groups(trajectory, ["participant"], "t0").select(*TRAJECTORY_DDL.replace(",", " ").split()[::2])
     return ordered.mapInArrow(_per_participant(work, schema), ddl)
 
 
 def flights(fixes: DataFrame, interval: int = 10, r: float = 10.0, w: float = 20.0, h: float = 10.0) -> DataFrame:
     """Rows of all chunks of ``participant, t, lat, lon`` fixes; single positions have status 3."""
     rows = chunks(collapse(fixes, interval)).select("participant", "chunk", "bin", "t", "lat", "lon")
-    return rows.repartition("participant", "chunk").sortWithinPartitions("participant", "chunk", "bin").mapInArrow(_chunked(interval, r, w, h), TRAJECTORY_DDL)
+    return sorted_groups(rows, ["participant", "chunk"], "bin").mapInArrow(_chunked(interval, r, w, h), TRAJECTORY_DDL)
 
 
 def trajectories(fixes: DataFrame, interval: int = 10, r: float = 10.0, w: float = 20.0, h: float = 10.0) -> DataFrame:
@@ -254,15 +254,19 @@ def significant_places(rows: np.ndarray, threshold_m: float) -> list[list[float]
     return places
 
 
-def _hour(t: float, zone: ZoneInfo) -> int:
-    return datetime.fromtimestamp(t, zone).hour
+def local_hours(t: np.ndarray, zone: str) -> np.ndarray:
+    """Local hour of each instant; offsets are looked up once per quarter of an hour."""
+    tz = ZoneInfo(zone)
+    quarters, back = np.unique(np.floor(np.asarray(t, float) / 900), return_inverse=True)
+    offsets = np.array([datetime.fromtimestamp(q * 900, tz).utcoffset().total_seconds() for q in quarters])
+    return ((t + offsets[back]) % 86_400 // 3600).astype(int) if len(back) else np.zeros(0, int)
 
 
 def home_of(rows: np.ndarray, zone: str = "UTC", threshold_m: float = 20.0) -> tuple[float, float] | None:
     """The most visited place of the observed pauses with mid-hours from 19 to 9; None without any."""
-    tz = ZoneInfo(zone)
-    night = [x for x in rows if x[STATUS] == PAUSE and x[OBS] == 1 and not 9 < _hour((x[T0] + x[T1]) / 2, tz) < 19]
-    places = significant_places(np.array(night), threshold_m) if night else []
+    rows = rows[(rows[:, STATUS] == PAUSE) & (rows[:, OBS] == 1)]
+    hours = local_hours((rows[:, T0] + rows[:, T1]) / 2, zone)
+    places = significant_places(rows[(hours <= 9) | (hours >= 19)], threshold_m)
     return (lambda p: (p[0], p[1]))(max(places, key=lambda p: p[2])) if places else None
 
 
@@ -294,10 +298,10 @@ def bin_statistics(rows: np.ndarray, home: tuple[float, float], zone: str = "UTC
     """Statistics of the rows of one bin, in seconds and metres; only obs_duration (0) without rows."""
     if not len(rows):
         return {n: None for n in DAILY} | {"obs_duration": 0.0, "obs_day": 0.0, "obs_night": 0.0}
-    tz = ZoneInfo(zone)
     s = rows[:, T1] - rows[:, T0]
     seen = rows[:, OBS] == 1
-    day = np.array([8 <= _hour((x[T0] + x[T1]) / 2, tz) <= 19 for x in rows])
+    hours = local_hours((rows[:, T0] + rows[:, T1]) / 2, zone)
+    day = (hours >= 8) & (hours <= 19)
     from_home = np.stack([arc_m(*home, rows[:, LAT0], rows[:, LON0]), arc_m(*home, rows[:, LAT1], rows[:, LON1])])
     moved = np.round(arc_m(rows[:, LAT1], rows[:, LON1], rows[:, LAT0], rows[:, LON0]))
     flight, pause = rows[:, STATUS] == FLIGHT, rows[:, STATUS] == PAUSE
