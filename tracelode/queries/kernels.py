@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions.instants import sensor_instant
-from tracelode.operators import gait, trajectory
+from tracelode.operators import gait, places, simulate, trajectory
+from tracelode.operators.imputation import impute
 from tracelode.queries.mobility import fixes
 from tracelode.sources.tables import load
 
@@ -69,7 +70,43 @@ def bout_peak_to_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z)").groupBy("participant", "second").agg(*ranges)
 
 
-QUERIES = {f.__name__: f for f in (flights_from_knots, mobility_infer, gps_daily_summary, gps_hourly_summary, home_location, significant_places, walking_cadence, gait_minute, gait_hourly, gait_daily, bout_peak_to_peak)}
+def impute_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impute(_trajectory(spark, sf_dir))
+
+
+def _interest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pauses, and squares and points of interest put beside every visited place."""
+    path = _trajectory(spark, sf_dir).where("status = 2")
+    pauses = path.select("participant", F.xxhash64("participant", "t0").alias("pause_id"), F.col("lat0").alias("lat"), F.col("lon0").alias("lon"), (F.col("t1") - F.col("t0")).alias("seconds"), "t0")
+    seen = significant_places(spark, sf_dir).select(F.xxhash64("participant", "place").alias("place_id"), "lat", "lon")
+    kind = F.array(*map(F.lit, ("cafe", "park", "office", "shop")))[F.pmod("place_id", F.lit(4)).cast("int")]
+    corner = lambda a, b: F.array(F.col("lat") + a * 0.0004, F.col("lon") + b * 0.0004)
+    square = F.array(corner(0, 0), corner(0, 1), corner(1, 1), corner(1, 0))
+    shape = F.when(F.pmod("place_id", F.lit(3)) == 0, F.array(corner(0, 0))).otherwise(square)
+    return pauses, seen.select("place_id", kind.alias("kind"), shape.alias("shape"), F.create_map(F.lit("kind"), kind).alias("tags"))
+
+
+def poi_time_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pauses, interest = _interest(spark, sf_dir)
+    return places.place_times(pauses, places.place_overlaps(pauses, interest))
+
+
+def poi_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pauses, interest = _interest(spark, sf_dir)
+    return places.places_log(pauses, places.place_overlaps(pauses, interest), interest).withColumn("tags", F.to_json("tags"))
+
+
+def sim_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simulated texts; the tables of the directory aren't read."""
+    return simulate.simulate_logs(spark)[1]
+
+
+def sim_gps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simulated pings; the tables of the directory aren't read."""
+    return simulate.simulate_gps(spark)
+
+
+QUERIES = {f.__name__: f for f in (flights_from_knots, mobility_infer, gps_daily_summary, gps_hourly_summary, home_location, significant_places, walking_cadence, gait_minute, gait_hourly, gait_daily, bout_peak_to_peak, impute_trajectory, poi_time_share, poi_log, sim_logs, sim_gps)}
 
 ORACLE = {
     "bout_peak_to_peak": """
