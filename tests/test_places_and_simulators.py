@@ -18,7 +18,13 @@ def square(lat, lon, half_m):
 
 
 def test_areas():
-    assert P.area(P.circle(0, 0, 10)) == pytest.approx(math.pi * 100)
+    turn = np.linspace(0, 2 * math.pi, 721)[:-1]
+    ring = 30 * np.stack([np.cos(turn), np.sin(turn)], axis=1)
+    assert P.area(ring) == pytest.approx(math.pi * 900, rel=1e-3)
+    for shift in (0, 10, 25, 45, 79, 81):
+        assert P.polygon_in_circle(ring + [shift, 0], 50) == pytest.approx(P.circles_area(shift, 50, 30), abs=1.0)
+    notched = np.array([[-60, -60], [60, -60], [60, 60], [0, 0], [-60, 60]], float)
+    assert P.polygon_in_circle(notched, 20) == pytest.approx(math.pi * 400 * 0.75)
     assert P.overlap_m2(45, 7, 50, np.array(square(45, 7, 10)), 5) == pytest.approx(400, rel=0.01)
     assert P.overlap_m2(45, 7, 50, np.array(square(45, 7, 500)[::-1]), 5) == pytest.approx(math.pi * 2500, rel=0.01)
     assert P.overlap_m2(45, 7, 50, np.array([[45.0, 7.0]]), 5) == pytest.approx(math.pi * 25, rel=0.01)

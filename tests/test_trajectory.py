@@ -49,6 +49,17 @@ def test_places_and_home():
     assert T.home_of(DAY[DAY[:, 0] == 1]) is None
 
 
+def test_routine_of_equal_and_different_days():
+    week = np.concatenate([DAY[:, :] + np.array([0, 0, 0, 86_400 * k, 0, 0, 86_400 * k, 0]) for k in range(5)])
+    week[:, T.T1] = np.minimum(week[:, T.T1], np.r_[week[1:, T.T0], np.inf])
+    same = T.routine_of(week, T0 + 2 * 86_400, T0 + 3 * 86_400)
+    assert same == pytest.approx(1.0)
+    week[week[:, T.T0] < T0 + 2 * 86_400, T.LAT0] += 1
+    assert T.routine_of(week, T0 + 2 * 86_400, T0 + 3 * 86_400) == pytest.approx(0.5)
+    assert T.routine_of(DAY, T0, T0 + 86_400) == 0 and T.routine_of(DAY[DAY[:, 0] == 1], T0, T0 + 86_400) == 0
+    assert T.agreement(week[:1], week[:0], 0, 1) == 0
+
+
 def test_pipeline(spark):
     rows = [("p", 10 * k, 45 + (k % 2) * 1e-6 + max(0, k - 200) * 1e-4, 7.0) for k in range(400)]
     fixes = spark.createDataFrame(rows, "participant string, t long, lat double, lon double")

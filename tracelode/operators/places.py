@@ -23,43 +23,46 @@ def plane(points: np.ndarray, lat: float, lon: float) -> np.ndarray:
     return np.stack([(points[:, 1] - lon) * METRES * math.cos(math.radians(lat)), (points[:, 0] - lat) * METRES], axis=1)
 
 
-def circle(x: float, y: float, radius: float, corners: int = 64) -> np.ndarray:
-    """Counter-clockwise polygon with the area of the circle."""
-    turn = 2 * math.pi * np.arange(corners) / corners
-    size = radius * math.sqrt(math.pi / (corners / 2 * math.sin(2 * math.pi / corners)))
-    return np.stack([x + size * np.cos(turn), y + size * np.sin(turn)], axis=1)
-
-
 def area(polygon: np.ndarray) -> float:
+    """Area of a simple polygon."""
     x, y = polygon[:, 0], polygon[:, 1]
     return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2 if len(polygon) > 2 else 0.0
 
 
-def clip(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """The part of ``subject`` inside a convex counter-clockwise ``window`` (Sutherland and Hodgman)."""
-    out = subject
-    for a, b in zip(window, np.roll(window, -1, axis=0), strict=True):
-        if not len(out):
-            break
-        edge = b - a
-        side = edge[0] * (out[:, 1] - a[1]) - edge[1] * (out[:, 0] - a[0])
-        kept = []
-        for i, p in enumerate(out):
-            j = i - 1
-            if (side[i] >= 0) != (side[j] >= 0):
-                share = side[j] / (side[j] - side[i])
-                kept.append(out[j] + share * (p - out[j]))
-            if side[i] >= 0:
-                kept.append(p)
-        out = np.array(kept).reshape(-1, 2)
-    return out
+def polygon_in_circle(polygon: np.ndarray, radius: float) -> float:
+    """Area that a polygon shares with the circle about the origin, exactly.
+
+    Every edge adds the signed area of the circle's share of its triangle with the centre: the
+    part of the edge inside the circle gives a triangle, the parts outside give sectors.
+    """
+    p, q = polygon, np.roll(polygon, -1, axis=0)
+    d = q - p
+    a = np.maximum((d * d).sum(axis=1), 1e-18)
+    half_b, c = (p * d).sum(axis=1), (p * p).sum(axis=1) - radius**2
+    root = np.sqrt(np.maximum(half_b**2 - a * c, 0))
+    low, high = (np.clip(v, 0, 1) for v in ((-half_b - root) / a, (-half_b + root) / a))
+    m, n = p + low[:, None] * d, p + high[:, None] * d
+    cross = lambda u, v: u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]
+    turn = lambda u, v: np.arctan2(cross(u, v), (u * v).sum(axis=1))
+    return abs(float((cross(m, n) + radius**2 * (turn(p, m) + turn(n, q))).sum())) / 2
+
+
+def circles_area(distance: float, r: float, s: float) -> float:
+    """Area that two circles share."""
+    if distance >= r + s:
+        return 0.0
+    if distance <= abs(r - s):
+        return math.pi * min(r, s) ** 2
+    x, y = (distance**2 + r**2 - s**2) / (2 * distance), (distance**2 + s**2 - r**2) / (2 * distance)
+    return r**2 * math.acos(x / r) - x * math.sqrt(max(r**2 - x**2, 0)) + s**2 * math.acos(y / s) - y * math.sqrt(max(s**2 - y**2, 0))
 
 
 def overlap_m2(lat: float, lon: float, radius: float, place: np.ndarray, place_radius: float) -> float:
     """Area that a pause circle shares with a place: a circle about a single point, else a polygon."""
     local = plane(place, lat, lon)
-    shape = circle(*local[0], place_radius) if len(local) < 3 else local
-    return area(clip(shape, circle(0.0, 0.0, radius)))
+    if len(local) < 3:
+        return circles_area(float(np.hypot(*local[0])), radius, place_radius)
+    return polygon_in_circle(local, radius)
 
 
 _PAIR = pa.schema([("pause_id", pa.int64()), ("place_id", pa.int64()), ("kind", pa.string()), ("m2", pa.float64())])
@@ -71,7 +74,7 @@ def _overlaps(radius: float, place_radius: float):
             rows = []
             for pause, lat, lon, place, kind, shape in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 m2 = overlap_m2(lat, lon, radius, np.array(shape, float).reshape(-1, 2), place_radius)
-                if m2 > 0:
+                if m2 > 1e-6:
                     rows.append((pause, place, kind, m2))
             yield to_batch(rows, _PAIR)
 

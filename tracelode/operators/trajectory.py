@@ -367,3 +367,82 @@ def places(trajectory: DataFrame, threshold_m: float = 50.0) -> DataFrame:
     schema = pa.schema([("participant", pa.string()), ("place", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64()), ("visits", pa.int64()), ("seconds", pa.float64())])
     found = lambda rows: [(i, p[0], p[1], int(p[2]), float(p[3])) for i, p in enumerate(significant_places(rows[rows[:, STATUS] == PAUSE], threshold_m))]
     return by_participant(trajectory, lambda _, rows: found(rows), schema, "participant string, place long, lat double, lon double, visits long, seconds double")
+
+
+def split_summary(trajectory: DataFrame, zone: str = "UTC", day_from: int = 8, day_to: int = 20) -> DataFrame:
+    """Daily statistics for the day (local ``day_from`` to ``day_to``) and the night pieces around it, side by side."""
+    names = ["bin_start", *[f"{n}_daytime" for n in DAILY], *[f"{n}_nighttime" for n in DAILY]]
+    schema = pa.schema([("participant", pa.string()), *[(n, pa.float64()) for n in names]])
+
+    def work(_: str, rows: np.ndarray) -> list:
+        home = home_of(rows, zone)
+        if home is None:
+            return []
+        tz = ZoneInfo(zone)
+        start = datetime.fromtimestamp(rows[0, T0], tz).replace(hour=0, minute=0, second=0, microsecond=0)
+        out = []
+        for k in range(int((rows[-1, T1] - start.timestamp()) // 86_400) + 1):
+            a = start.timestamp() + k * 86_400
+            b, local = a + 86_400, datetime.fromtimestamp(a, tz)
+            morning, evening = (local.replace(hour=h).timestamp() for h in (day_from, day_to))
+            day = bin_statistics(stretched(rows, morning, evening), home, zone)
+            night = bin_statistics(np.concatenate([stretched(rows, a, morning), stretched(rows, evening, b)]), home, zone)
+            out.append((a, *[day[n] for n in DAILY], *[night[n] for n in DAILY]))
+        return out
+
+    return by_participant(trajectory, work, schema, "participant string, " + ", ".join(f"{n} double" for n in names))
+
+
+def agreement(mine: np.ndarray, other: np.ndarray, start: float, end: float, within_m: float = 10.0) -> float:
+    """Share of the seconds in [start, end) when both rest that are spent within ``within_m``; 0 if there are none."""
+    common = near = 0.0
+    ends = np.maximum.accumulate(other[:, T1]) if len(other) else other
+    for row in mine:
+        a, b = max(row[T0], start), min(row[T1], end)
+        if b <= a or not len(other):
+            continue
+        for k in range(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(other[:, T0], b, "left"))):
+            s = min(b, other[k, T1]) - max(a, other[k, T0])
+            if s > 0:
+                common += s
+                near += s * bool(arc_m(row[LAT0], row[LON0], other[k, LAT0], other[k, LON0]) <= within_m)
+    return near / common if common else 0.0
+
+
+def routine_of(rows: np.ndarray, start: float, end: float, window: int = 14, stratified: bool = False, zone: str = "UTC") -> float:
+    """Mean agreement of a day with up to ``window`` days before and after it (Canzian and Musolesi 2015).
+
+    Pauses are compared as intervals, so every second counts. Stratified, only days of the same
+    kind (weekday or weekend) are compared; the divisor stays the number of days on either side.
+    """
+    rest = rows[rows[:, STATUS] == PAUSE]
+    if not len(rest):
+        return 0.0
+    first, last = rest[0, T0], rest[:, T1].max()
+    low, high = max(start, first), min(end, last)
+    before, after = (min(round(x / 86_400), window) for x in (low - first, last - high))
+    if max(before, after) <= 0:
+        return 0.0
+    shifts = [*range(1, before + 1), *range(-after, 0)]
+    if stratified:
+        weekend = lambda t: datetime.fromtimestamp(t, ZoneInfo(zone)).weekday() >= 5
+        middle = (low + high) / 2
+        shifts = [s for s in shifts if weekend(middle - s * 86_400) == weekend(middle)]
+    total = 0.0
+    for s in shifts:
+        moved = rest.copy()
+        moved[:, [T0, T1]] += s * 86_400
+        total += agreement(rest, moved, low, high)
+    return total / (before + after)
+
+
+def routine(trajectory: DataFrame, zone: str = "UTC", window: int = 14) -> DataFrame:
+    """``participant, bin_start, routine, routine_stratified`` of each local day of a trajectory."""
+    schema = pa.schema([("participant", pa.string()), *[(n, pa.float64()) for n in ("bin_start", "routine", "routine_stratified")]])
+
+    def work(_: str, rows: np.ndarray) -> list:
+        start = datetime.fromtimestamp(rows[0, T0], ZoneInfo(zone)).replace(hour=0, minute=0, second=0, microsecond=0).timestamp()
+        days = [start + k * 86_400 for k in range(int((rows[-1, T1] - start) // 86_400) + 1)]
+        return [(a, routine_of(rows, a, a + 86_400, window), routine_of(rows, a, a + 86_400, window, True, zone)) for a in days]
+
+    return by_participant(trajectory, work, schema, "participant string, bin_start double, routine double, routine_stratified double")

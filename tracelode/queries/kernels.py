@@ -35,6 +35,14 @@ def gps_hourly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectory.summary(_trajectory(spark, sf_dir), 3600)
 
 
+def gps_day_night_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.split_summary(_trajectory(spark, sf_dir))
+
+
+def routine_index_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.routine(_trajectory(spark, sf_dir))
+
+
 def home_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectory.homes(_trajectory(spark, sf_dir))
 
@@ -106,7 +114,7 @@ def sim_gps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.simulate_gps(spark)
 
 
-QUERIES = {f.__name__: f for f in (flights_from_knots, mobility_infer, gps_daily_summary, gps_hourly_summary, home_location, significant_places, walking_cadence, gait_minute, gait_hourly, gait_daily, bout_peak_to_peak, impute_trajectory, poi_time_share, poi_log, sim_logs, sim_gps)}
+QUERIES = {f.__name__: f for f in (flights_from_knots, mobility_infer, gps_daily_summary, gps_hourly_summary, gps_day_night_summary, routine_index_daily, home_location, significant_places, walking_cadence, gait_minute, gait_hourly, gait_daily, bout_peak_to_peak, impute_trajectory, poi_time_share, poi_log, sim_logs, sim_gps)}
 
 ORACLE = {
     "bout_peak_to_peak": """
