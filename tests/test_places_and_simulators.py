@@ -28,7 +28,7 @@ def test_areas():
     assert P.overlap_m2(45, 7, 50, np.array(square(45, 7, 10)), 5) == pytest.approx(400, rel=0.01)
     assert P.overlap_m2(45, 7, 50, np.array(square(45, 7, 500)[::-1]), 5) == pytest.approx(math.pi * 2500, rel=0.01)
     assert P.overlap_m2(45, 7, 50, np.array([[45.0, 7.0]]), 5) == pytest.approx(math.pi * 25, rel=0.01)
-    assert P.overlap_m2(45, 7, 50, np.array(square(45.01, 7, 10)), 5) == 0
+    assert P.overlap_m2(45, 7, 50, np.array(square(45.01, 7, 10)), 5) == pytest.approx(0, abs=1e-9)
 
 
 def test_times_at_places(spark):
