@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.functions.arrow_groups import widened
+
 WORDS = re.compile(r"[^\W_]+")
 WINDOW_WORDS = 12
 SHINGLE_WORDS = 5
@@ -183,7 +185,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     empty tables give an empty result; other columns are ignored. Items are held by tasks in
     blocks of ``ITEMS_PER_PASS``, each searched in a pass of its own over the documents.
     """
-    docs = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    docs = widened(documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
     held = items.select("item_id", "passage").where(F.col("item_id").isNotNull() & F.col("passage").isNotNull())
     passes = max(1, -(-held.count() // ITEMS_PER_PASS))
     found = None

@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.functions.arrow_groups import widened
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pre-tokenisation pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -134,8 +136,9 @@ def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Null and empty texts give an empty list; their strings of special tokens are ordinary text;
     texts and words of any length are encoded whole; repeated rows and null ids are kept; an
-    empty table gives an empty result; other columns are ignored. One scan, no shuffle.
+    empty table gives an empty result; other columns are ignored. One scan, without a shuffle
+    unless its files give no more than half as many splits as there are cores.
     ``vocabulary`` must be readable on every worker.
     """
     kind = dict(documents.dtypes)[doc_id]
-    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(vocabulary), f"doc_id {kind}, ids array<int>")
+    return widened(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(_encode(vocabulary), f"doc_id {kind}, ids array<int>")
