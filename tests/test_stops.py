@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from tracelode.operators.stops import HOUR_MS, StopRule, stops_and_trips
+from tracelode.operators.stops import HOUR_MS, StopRule, shared_spots, stops_and_trips
 
 BASE = 1_614_600_000_000 - 1_614_600_000_000 % HOUR_MS
 M = 1 / 111_195
@@ -67,3 +67,9 @@ def test_short_stays_unusable_rows_and_wrapped_longitudes(spark):
     assert only[7] == -160.0
     bad = [[None, BASE, None, 1.0, 1.0, 1.0, 1.0], ["p", None, None, 1.0, 1.0, 1.0, 1.0], ["p", 5, None, 1.0, 1.0, 1.0, 1.0], ["p", BASE, None, None, 1.0, 1.0, 1.0], ["p", BASE, None, 400.0, 1.0, 1.0, 1.0], ["p", BASE, None, 0.0, 0.0, 1.0, 1.0], ["p", BASE, None, float("nan"), 1.0, 1.0, 1.0]]
     assert run(spark, bad) == [] and run(spark, []) == []
+
+
+def test_visits_of_one_spot_share_its_centre():
+    spots = shared_spots([(10.0, 179.9999, 10), (10.0002, -179.9999, 30), (11.0, 0.0, 5)], 60.0)
+    assert spots[0] == spots[1] and abs(spots[0][0] - 10.00015) < 1e-9 and abs(spots[0][1] + 179.99995) < 1e-6
+    assert spots[2] == (11.0, 0.0) and shared_spots([], 60.0) == []

@@ -7,7 +7,8 @@ after a silence of more than ``silence_ms``. Runs of at least ``min_stop_ms`` ar
 
 Two levels keep every task small, however many pings one participant has: runs are formed per
 (participant, day), then only the runs that matter - stops, a day's first and last runs, and one
-summary of each movement between - are stitched per participant in time order, streaming.
+summary of each movement between - are stitched per participant in time order, streaming; what a
+task holds is one participant's stops, which time bounds.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ class StopRule:
     max_accuracy_m: float = 200.0
     earliest_ms: int = 946_684_800_000  # clocks before 2000 are impossible
     bucket_ms: int = 24 * HOUR_MS
+    same_spot_m: float = 60.0  # visits of one participant this near to each other share their spot
 
 
 _TOKEN = pa.schema([
@@ -183,8 +185,27 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TOKEN, strict=True)], schema=_TOKEN)
 
 
+def shared_spots(stops: list[tuple[float, float, int]], within_m: float) -> list[tuple[float, float]]:
+    """Centre of each stop (lat, lon, pings): the mean over all stops near the same centre, weighted by pings."""
+    if not stops:
+        return []
+    base = stops[0][1]
+    centres = np.zeros((len(stops), 3))
+    of, used = [], 0
+    for lat, lon, n in stops:
+        lon = base + (lon - base + 180) % 360 - 180
+        away = np.hypot(centres[:used, 0] - lat, (centres[:used, 1] - lon) * math.cos(math.radians(lat))) * METRES_PER_DEGREE
+        k = int(np.argmin(away)) if used else -1
+        if k < 0 or away[k] > within_m:
+            k, used = used, used + 1
+        centres[k, :2] = (centres[k, :2] * centres[k, 2] + np.array([lat, lon]) * n) / (centres[k, 2] + n)
+        centres[k, 2] += n
+        of.append(k)
+    return [(float(centres[k, 0]), float((centres[k, 1] + 180) % 360 - 180)) for k in of]
+
+
 class _Stitcher:
-    """Streams one participant's tokens into stops and trips."""
+    """Turns one participant's tokens, in time order, into stops and trips; holds the stops alone."""
 
     def __init__(self, who: str, rule: StopRule):
         self.who, self.rule = who, rule
@@ -193,6 +214,7 @@ class _Stitcher:
         self.stop: dict | None = None  # the last finished stop
         self.gap, self.path, self.seen, self.at = 0, 0.0, None, None
         self.rows: list[tuple] = []
+        self.stops: list[tuple[float, float, int]] = []
 
     def _finish(self) -> None:
         run, rule = self.open, self.rule
@@ -203,15 +225,12 @@ class _Stitcher:
             self.gap = max(self.gap, run["gap"])
             self.path += run["path"]
             return
-        lat, lon = run["lat"] / run["n"], run["lon"] / run["n"]
-        stop = {"lat": lat, "lon": (lon + 180) % 360 - 180, **{k: run[k] for k in ("s0", "s1")}}
+        stop = {"lat": run["lat"] / run["n"], "lon": (run["lon"] / run["n"] + 180) % 360 - 180, "k": len(self.stops), **{k: run[k] for k in ("s0", "s1")}}
+        self.stops.append((stop["lat"], stop["lon"], run["n"]))
         if self.stop and self.gap <= rule.silence_ms and distance_m(self.stop["lat"], self.stop["lon"], stop["lat"], stop["lon"]) > rule.radius_m:
-            self.rows.append((self.who, "trip", self.stop["s1"], stop["s0"], run["fixes_before"], self.path, self.stop["lat"], self.stop["lon"], stop["lat"], stop["lon"]))
-        self.rows.append((self.who, "stop", stop["s0"], stop["s1"], run["n"], 0.0, stop["lat"], stop["lon"], stop["lat"], stop["lon"]))
-        self.stop, self.gap, self.path = stop, 0, 0.0
-        self.fixes = 0
-        self.gap = run["gap_after"]
-        self.path = run["path_after"]
+            self.rows.append(("trip", self.stop["s1"], stop["s0"], run["fixes_before"], self.path, self.stop["k"], stop["k"]))
+        self.rows.append(("stop", stop["s0"], stop["s1"], run["n"], 0.0, stop["k"], stop["k"]))
+        self.stop, self.gap, self.path, self.fixes = stop, run["gap_after"], run["path_after"], 0
 
     fixes = 0
 
@@ -253,8 +272,10 @@ class _Stitcher:
             self.fixes += n
 
     def end(self) -> list[tuple]:
+        """The participant's rows, the visits of one spot given their common centre."""
         self._finish()
-        return self.rows
+        spots = shared_spots(self.stops, self.rule.same_spot_m)
+        return [(self.who, *row[:5], *spots[row[5]], *spots[row[6]]) for row in self.rows]
 
 
 def _second_level(rule: StopRule) -> Callable:
@@ -271,9 +292,6 @@ def _second_level(rule: StopRule) -> Callable:
                         yield pack(rows)
                     stitcher = _Stitcher(who, rule)
                 stitcher.add(tuple(token))
-            if stitcher and stitcher.rows:
-                yield pack(stitcher.rows)
-                stitcher.rows = []
         if stitcher and (rows := stitcher.end()):
             yield pack(rows)
 
@@ -302,7 +320,8 @@ def stops_and_trips(gps: DataFrame, rule: StopRule = StopRule()) -> DataFrame:
     A "stop" is a stay of at least ``min_stop_ms`` within about ``radius_m`` of one spot, from its
     first to its last ping; a "trip" leads from a stop to the participant's next one at another
     spot without a silence of more than ``silence_ms`` between; ``distance_m`` sums the
-    great-circle steps of the trip. Repeated pings count once: of one instant the most accurate,
+    great-circle steps of the trip. Visits of one participant within ``same_spot_m`` of each other
+    share the mean of all their pings as their spot, as single visits wander. Repeated pings count once: of one instant the most accurate,
     then the southernmost, then the westernmost. Unusable pings (see ``clean_fixes``) don't
     count; an empty table gives an empty result; extra columns are ignored.
     """
