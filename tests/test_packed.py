@@ -17,6 +17,7 @@ def notations(values):
         yield mark.join(values)
         yield f"[{mark.join(values)}]"
         yield mark.join(map(doubled, values))
+    yield " ".join(map(doubled, values))
     yield json.dumps(values)
     yield repr(values)
     yield "; ;".join(values) + " ; "

@@ -36,7 +36,7 @@ def _quoted(text: str, at: int) -> tuple[str, int] | None:
             if i + 1 < n and text[i + 1] == quote:
                 out.append(quote)
                 i += 2
-            elif _ends(text, i + 1):
+            elif _ends(text, i + 1) or _next_quoted(text, i + 1, quote):
                 return "".join(out), i + 1
             else:
                 out.append(c)
@@ -47,6 +47,14 @@ def _quoted(text: str, at: int) -> tuple[str, int] | None:
     return None
 
 
+def _next_quoted(text: str, at: int, quote: str) -> bool:
+    """Whether blanks alone part a closed value from another quoted one."""
+    start, n = at, len(text)
+    while at < n and text[at] in BLANKS:
+        at += 1
+    return start < at < n and text[at] == quote
+
+
 def _ends(text: str, at: int) -> bool:
     """Whether a value may end before place ``at``: blanks, then a delimiter, a closing mark or the end."""
     n = len(text)

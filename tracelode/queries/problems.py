@@ -94,6 +94,26 @@ ORACLE = {
 SELECT participant, unnest(range(t // 1000 + 1, nxt // 1000)) AS epoch_second FROM l WHERE nxt - t <= 60000""",
 }
 
+ORACLE["p4_found"] = """
+WITH f AS (SELECT participant, stream, list_filter(string_split(replace(replace(replace(content, chr(65279), ''), chr(13), ''), '"', ''), chr(10)), lambda l: trim(l) <> '') AS ls FROM chunk_files WHERE content IS NOT NULL),
+ h AS (SELECT *, string_split(ls[1], ',') AS hd FROM f WHERE len(ls) > 1),
+ r AS (SELECT participant, stream, hd, unnest(ls[2:]) AS l FROM h),
+ v AS (SELECT participant, stream, hd, string_split(l, ',') AS v FROM r WHERE NOT contains(l, 'UTC time')),
+ k AS (SELECT participant, stream, v[list_position(hd, 'timestamp')] AS ts, v[list_position(hd, 'UTC time')] AS utc FROM v WHERE len(v) = len(hd))
+SELECT DISTINCT participant, stream, coalesce(try_cast(nullif(trim(ts), '') AS BIGINT), epoch_us(try_cast(utc AS TIMESTAMP)) // 1000) AS record_ms FROM k
+WHERE nullif(trim(ts), '') IS NOT NULL OR try_cast(utc AS TIMESTAMP) IS NOT NULL"""
+
+#: No choice of a question holds another one, so a choice's place in the text tells its position.
+ORACLE["p7_found"] = """
+WITH q AS (SELECT unnest(from_json(survey_json, '[{"question_id": "VARCHAR", "answers": [{"text": "VARCHAR"}]}]')) AS q FROM survey_history WHERE survey_json IS NOT NULL),
+ c AS (SELECT DISTINCT q.question_id AS question_id, unnest(q.answers).text AS val FROM q),
+ a AS (SELECT DISTINCT * FROM survey_answers WHERE contains(lower(question_type), 'radio') OR contains(lower(question_type), 'checkbox')),
+ f AS (SELECT participant, survey_id, epoch_us(file_time) // 1000 AS answers_ms, question_id, 'answer_options' AS field, answer_options AS t FROM a
+   UNION ALL SELECT participant, survey_id, epoch_us(file_time) // 1000, question_id, 'answer', answer FROM a),
+ n AS (SELECT *, replace(replace(replace(t, '""', '"'), chr(92) || '"', '"'), chr(92) || chr(39), chr(39)) AS s FROM f WHERE t IS NOT NULL AND trim(t) NOT IN ('', 'NOT_PRESENTED', 'NO_ANSWER_SELECTED')),
+ m AS (SELECT n.*, val, strpos(s, val) AS place FROM n JOIN c USING (question_id) WHERE strpos(s, val) > 0)
+SELECT participant, survey_id, answers_ms, question_id, field, row_number() OVER (PARTITION BY participant, survey_id, answers_ms, question_id, field, t ORDER BY place) AS pos, val FROM m"""
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_sessions": p2_sessions,
