@@ -7,6 +7,7 @@ import pytest
 from tracelode.functions.timebins import Frequency
 from tracelode.operators import surveys as S
 from tracelode.operators.comm_logs import communication_summary
+from tracelode.queries import surveys as survey_queries
 
 CALLS = "participant string, timestamp long, phone string, call_type string, duration_s double"
 TEXTS = "participant string, timestamp long, phone string, direction string, message_length string"
@@ -49,3 +50,16 @@ def test_instances(spark):
     events = spark.createDataFrame(rows, "participant string, survey_id string, t_ms long, question_id string, question_type string, event string, answer string")
     got = [(r.participant, r.t_ms, r.question_index, r.instance) for r in S.number_events(events).orderBy("participant", "t_ms").collect()]
     assert got == [("p", 0, 1, 1), ("p", 10, 1, 1), ("p", 20, 2, 1), ("p", 30, 3, 2), ("p", 8_000_000, 3, 3), ("q", 5, 0, 0)]
+
+
+def test_wide_form_holds_every_survey(spark, tmp_path):
+    history = [("s1", '[{"question_id": "b"}, {"question_id": "a"}]'), ("s2", '[{"question_id": "c"}]')]
+    spark.createDataFrame(history, "survey_id string, survey_json string").write.parquet(f"{tmp_path}/survey_history.parquet")
+    rows = [("p", "s1", 1000, "a", "changed", "x"), ("p", "s1", 2000, "a", "changed", "y"), ("p", "s1", 3000, "b", "submitted", "z")]
+    rows += [("p", "s2", 5000, "c", "changed", "u"), ("q", "s2", 6000, "0", "changed", "v"), ("q", "s3", 7000, "d", "changed", "w"), ("q", "s3", 8000, "d", "changed", None)]
+    timings = [(p, s, 1_600_000_000_000 + t, q, e, a, None, None) for p, s, t, q, e, a in rows]
+    spark.createDataFrame(timings, "participant string, survey_id string, timestamp long, question_id string, event string, answer string, question_type string, utc_time timestamp_ntz").write.parquet(f"{tmp_path}/survey_timings.parquet")
+    wide = survey_queries.responses_wide(spark, str(tmp_path))
+    assert [c for c in wide.columns if c.startswith("question_")] == ["question_1", "question_2"]
+    got = sorted(((r.survey_id, r.participant, r.question_1, r.question_2) for r in wide.collect()), key=str)
+    assert got == [("s1", "p", "y", "z"), ("s2", "p", "u", None), ("s2", "q", None, "v"), ("s3", "q", "w", None)]

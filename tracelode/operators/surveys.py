@@ -147,12 +147,28 @@ def answer_summary(changed: DataFrame) -> DataFrame:
     return totals.alias("t").join(common.alias("c"), same, "left").select("t.*", F.coalesce("c.most_common_answer", F.lit("0")).alias("most_common_answer"))
 
 
-def responses_wide(numbered: DataFrame, questions: Sequence[str]) -> DataFrame:
-    """One row per instance with the last answer of each of ``questions`` as question_1, question_2, ..."""
+def question_positions(config: DataFrame, events: DataFrame) -> DataFrame:
+    """``survey_id, question_id, position``: each survey's questions from 1 on.
+
+    Questions that ``config`` lists come first, those that only answers show follow, each in the
+    order of their ids.
+    """
+    listed = config.select("survey_id", "question_id", F.lit(0).alias("_late"))
+    answered = events.where(F.col("answer").isNotNull()).select("survey_id", "question_id", F.lit(1).alias("_late"))
+    questions = listed.unionByName(answered).where(F.col("survey_id").isNotNull() & F.col("question_id").isNotNull()).groupBy("survey_id", "question_id").agg(F.min("_late").alias("_late"))
+    return questions.select("survey_id", "question_id", F.row_number().over(Window.partitionBy("survey_id").orderBy("_late", "question_id")).alias("position"))
+
+
+def responses_wide(numbered: DataFrame, positions: DataFrame, width: int) -> DataFrame:
+    """One row per instance of every survey with the last answer of each of its questions as question_1 .. question_``width``.
+
+    ``positions``: survey_id, question_id, position; columns beyond a survey's questions are null.
+    """
     final = numbered.where(F.col("answer").isNotNull()).groupBy("survey_id", "participant", "instance", "question_id").agg(F.max(F.struct("t_ms", "answer")).alias("m"))
     spans = numbered.groupBy("survey_id", "participant", "instance").agg(F.min("t_ms").alias("start_time"), F.max("t_ms").alias("end_time"))
-    wide = final.groupBy("survey_id", "participant", "instance").pivot("question_id", list(questions)).agg(F.first("m.answer"))
-    wide = wide.select("survey_id", "participant", "instance", *[F.col(f"`{q}`").alias(f"question_{i + 1}") for i, q in enumerate(questions)])
+    placed = final.join(positions, ["survey_id", "question_id"])
+    columns = [F.max(F.when(F.col("position") == i, F.col("m.answer"))).alias(f"question_{i}") for i in range(1, width + 1)]
+    wide = placed.groupBy("survey_id", "participant", "instance").agg(F.count(F.lit(1)).alias("_n"), *columns).drop("_n")
     return spans.withColumn("survey_duration", (F.col("end_time") - F.col("start_time")) / 1000).join(wide, ["survey_id", "participant", "instance"], "left")
 
 

@@ -51,10 +51,11 @@ def most_common_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The survey with the least id, its questions in the order of their ids (the columns of one survey's table)."""
-    config = survey_config(spark, sf_dir).where("config_id = 0").select("survey_id", "question_id").orderBy("question_id").collect()
-    survey = config[0].survey_id if config else ""
-    return S.responses_wide(_numbered(spark, sf_dir).where(F.col("survey_id") == survey), [r.question_id for r in config])
+    """Every survey's instances in one table; question_k is the k-th question of the row's own survey."""
+    events = S.survey_events(load(spark, sf_dir, "survey_timings"))
+    positions = S.question_positions(survey_config(spark, sf_dir), events)
+    width = positions.agg(F.max("position")).first()[0] or 0
+    return S.responses_wide(S.number_events(events), positions, width)
 
 
 def missing_submissions_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
