@@ -54,3 +54,19 @@ def test_nothing_to_find(spark):
     assert found == set()
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert M.restored_documents(spark, docs).count() == 0
+
+
+def test_many_copies_of_a_garbled_text_are_found(spark):
+    koi8 = "x " + M._read("сборки файл теперь очередь".encode("koi8-r"), "cp1251") + " y"
+    texts = CLEAN * 2 + [f"{CLEAN[2]} again"] + [koi8] * 40
+    docs, found = run(spark, texts)
+    assert found == set(range(len(texts) - 40, len(texts)))
+    assert {r.restored for r in M.restored_documents(spark, docs).collect()} == {"x сборки файл теперь очередь y"}
+
+
+def test_usual_garbled_tokens_are_found_where_a_text_agrees(spark):
+    variants = [f"change {i} " + M._read("Größe später ausführen".encode("cp1252"), "cp437") for i in range(30)]
+    variants += [f"change {i} " + M._read("сборки файл теперь".encode("koi8-r"), "cp1251") for i in range(30)]
+    texts = CLEAN + variants
+    _, found = run(spark, texts)
+    assert found == set(range(len(CLEAN), len(texts)))

@@ -23,6 +23,10 @@ TWICE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "mac_roman")
 WRITTEN_IN = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "iso8859-5", "cp866", "cp1253", "cp1254", "cp1255", "cp1256", "mac_roman", "cp437", "shift_jis", "euc_jp", "gbk", "big5", "euc_kr")
 LEGACY_READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "koi8-r", "cp866", "cp437", "mac_roman", "cp1253", "cp1254")
 LOST = "\ufffd"
+#: Distinct tokens of one text that must reverse by one chain to count whatever their frequency.
+AGREEING = 2
+#: Signs that correct words hold inside.
+_JOINS = dict.fromkeys(map(ord, "\u2019\u2018\u00b7\u2010\u2011\u00ad\u200b\u200c\u200d\u00aa\u00b5\u00ba\u00a0"))
 
 
 @lru_cache(maxsize=None)
@@ -98,39 +102,19 @@ def _script(c: str) -> str:
     return "other"
 
 
-def garbled_forms(word: str) -> dict[str, int]:
-    """Token -> kind for each token that a wrong decoding of ``word`` shows.
-
-    Kind 0: its UTF-8 bytes read wrongly, whole; 1: bytes of another encoding, whole; 2: a piece
-    of a form that an ASCII character or a blank breaks; 3: with lost characters.
-    """
-    out: dict[str, int] = {}
-
-    def put(form: str, kind: int) -> None:
-        if form == word or form.isascii():
-            return
-        if LOST in form:
-            kind = 3
-        pieces = _TOKEN.findall(form.replace("\xa0", " ")) if "\xa0" in form else []
-        for piece in _TOKEN.findall(form):
-            whole = piece == form
-            if whole or sum(c > "\x7f" for c in piece) >= 2 and len(piece) >= 3:
-                out[piece] = min(out.get(piece, 9), kind if whole else 2)
-        for piece in pieces:
-            if sum(c > "\x7f" for c in piece) >= 2 and len(piece) >= 3:
-                out[piece] = min(out.get(piece, 9), 2)
-
+def _decodings(word: str) -> Iterator[tuple[str, int, str]]:
+    """(form, kind, chain) of every wrong decoding of ``word``; kinds as in ``garbled_forms``."""
     raw = word.encode("utf-8", "replace")
     for codec in READ_AS:
         form = _read(raw, codec)
-        put(form, 0)
+        yield form, 0, f"utf-8>{codec}"
         if gone := _undefined(codec):
-            put(_read(bytes(b for b in raw if b not in gone), codec), 0)
-            put("".join(LOST if b in gone else _table(codec)[b] for b in raw), 3)
+            yield _read(bytes(b for b in raw if b not in gone), codec), 0, f"utf-8>{codec}"
+            yield "".join(LOST if b in gone else _table(codec)[b] for b in raw), 3, f"utf-8>{codec}"
         if codec in TWICE:
             for second in TWICE:
-                put(_read(form.encode("utf-8", "replace"), second), 0)
-    put(raw.decode("ascii", "replace"), 3)
+                yield _read(form.encode("utf-8", "replace"), second), 0, f"utf-8>{codec}>{second}"
+    yield raw.decode("ascii", "replace"), 3, "utf-8>ascii"
     for source in WRITTEN_IN:
         try:
             legacy = word.encode(source)
@@ -138,57 +122,123 @@ def garbled_forms(word: str) -> dict[str, int]:
             continue
         for codec in LEGACY_READ_AS:
             if codec != source:
-                put(_read(legacy, codec), 1)
-        put(legacy.decode("utf-8", "replace"), 3)
-        put(legacy.decode("ascii", "replace"), 3)
+                yield _read(legacy, codec), 1, f"{source}>{codec}"
+        yield legacy.decode("utf-8", "replace"), 3, f"{source}>utf-8"
+        yield legacy.decode("ascii", "replace"), 3, f"{source}>ascii"
+
+
+def _tokens(word: str, form: str, kind: int) -> Iterator[tuple[str, int]]:
+    """Tokens that a form of ``word`` shows, with their kinds."""
+    if form == word or form.isascii():
+        return
+    if LOST in form:
+        kind = 3
+    for piece in _TOKEN.findall(form):
+        whole = piece == form
+        if whole or sum(c > "\x7f" for c in piece) >= 2 and len(piece) >= 3:
+            yield piece, kind if whole else 2
+    for piece in _TOKEN.findall(form.replace("\xa0", " ")) if "\xa0" in form else []:
+        if sum(c > "\x7f" for c in piece) >= 2 and len(piece) >= 3:
+            yield piece, 2
+
+
+def garbled_forms(word: str) -> dict[str, int]:
+    """Token -> kind for each token that a wrong decoding of ``word`` shows.
+
+    Kind 0: its UTF-8 bytes read wrongly, whole; 1: bytes of another encoding, whole; 2: a piece
+    of a form that an ASCII character or a blank breaks; 3: with lost characters.
+    """
+    out: dict[str, int] = {}
+    for form, kind, _ in _decodings(word):
+        for token, k in _tokens(word, form, kind):
+            out[token] = min(out.get(token, 9), k)
     return out
 
 
+def chains(token: str, word: str) -> list[str]:
+    """The wrong decodings by which ``word`` shows ``token``."""
+    return sorted({chain for form, kind, chain in _decodings(word) for t, _ in _tokens(word, form, kind) if t == token})
+
+
+def odd(token: str) -> bool:
+    """Whether a token looks unwritten: letters of two scripts, signs between letters, small letters
+    before capitals, or four accented Latin letters in a row."""
+    scripts = {_script(c) for c in token if c.isalpha()}
+    if "other" in scripts or len(scripts & {"latin", "cyrillic", "greek", "hebrew", "arabic"}) > 1:
+        return True
+    if re.search("[\u0080-\u00bf\u00d7\u00f7\u2000-\u2bff]", token[1:-1].translate(_JOINS)) and any(map(str.isalpha, token)):
+        return True
+    if any(x.islower() and y.isupper() for x, y in zip(token, token[1:])):
+        return True
+    return re.search("[\u00c0-\u00ff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192]{4}", token) is not None
+
+
 def broken(token: str) -> bool:
     """Lost or control characters, which only wrong decoding leaves in a text."""
     return any(c == LOST or ("\x80" <= c <= "\x9f" and c != "\x85") for c in token)
 
 
 def _lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(form, word, kind, n_docs, settled) for every clean or recovered word."""
+    """(form, word, kind, texts, rows) for every clean or recovered word of (token, texts, rows)."""
     for batch in batches:
         rows: list[tuple] = []
-        for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for token, n, m in zip(*(batch.column(i).to_pylist() for i in range(3))):
             recovered = reversals(token)
             if recovered:
                 for word in recovered:
                     if token in garbled_forms(word):
-                        rows.append((token, word, 0, 0))
+                        rows.append((token, word, 0, 0, 0))
             elif not broken(token):
-                rows += [(form, token, kind, n) for form, kind in garbled_forms(token).items()]
-        columns = list(zip(*rows)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["form", "word", "kind", "n_word"])
+                rows += [(form, token, kind, n, m) for form, kind in garbled_forms(token).items()]
+        columns = list(zip(*rows)) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["form", "word", "kind", "n_word", "word_rows"])
+
+
+def _directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, word, chain) where the token looks unwritten and the word does not, or has capitals where the word has none."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for token, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if not odd(word) and (odd(token) or word == word.lower() and token != token.lower()):
+                rows += [(token, word, chain) for chain in chains(token, word)]
+        columns = list(zip(*rows)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["token", "word", "chain"])
 
 
 def document_tokens(documents: DataFrame) -> DataFrame:
-    """``doc_id, token``: the distinct tokens with non-ASCII characters of every document."""
+    """``doc_id, text_id, token``: the distinct tokens with non-ASCII characters of every document; copies share ``text_id``."""
     texts = documents.select("doc_id", "text").where(F.octet_length("text") != F.char_length("text"))
-    return texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({TOKEN})")))).alias("token"))
+    return texts.select("doc_id", F.xxhash64("text").alias("text_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({TOKEN})")))).alias("token"))
 
 
 def garbled_tokens(tokens: DataFrame) -> DataFrame:
-    """``token, original`` of each garbled token of ``doc_id, token``; null where it can't be restored.
+    """``token, original`` of each garbled token of ``doc_id, text_id, token``; null where it can't be restored.
 
     The lexicon holds the garbled forms of every distinct clean token under all chains of
     encodings, besides the words that garbled tokens lead back to (names often stand in one
     document only). Tokens meet it in a hash join. A form of UTF-8 bytes counts where the token
     can be read back; one of another encoding only where the original is the more usual token
-    (documents, then lower case) and has three characters or more; a piece or a form with lost
-    characters likewise. Tokens with lost or control characters count in any case.
+    (distinct texts, so copies count once; on a tie, rows or lower case) and has three characters or more; a
+    piece or a form with lost characters likewise. However usual they are, such tokens also count
+    where ``AGREEING`` or more of one text reverse by one chain to known words and look unwritten
+    while their words do not. Tokens with lost or control characters count in any case.
     """
-    known = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"))
-    lexicon = known.mapInArrow(_lexicon, "form string, word string, kind int, n_word long")
+    in_texts = tokens.groupBy("text_id", "token").agg(F.count(F.lit(1)).alias("rows"))
+    known = in_texts.groupBy("token").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("rows").alias("n_rows"))
+    lexicon = known.mapInArrow(_lexicon, "form string, word string, kind int, n_word long, word_rows long")
     lower = lambda c: (F.col(c) == F.lower(c)).cast("int")
     lost = F.col("token").rlike(f"[{LOST}\u0080-\u0084\u0086-\u009f]")
-    usual = (F.col("n_word") > F.col("n_docs")) | ((F.col("n_word") == F.col("n_docs")) & (lower("word") > lower("token")))
+    usual = (F.col("n_word") > F.col("n_texts")) | ((F.col("n_word") == F.col("n_texts")) & ((F.col("word_rows") > F.col("n_rows")) | (lower("word") > lower("token"))))
     read_back = (F.col("kind") == 0) & (F.col("n_word") == 0)
     accepted = read_back | lost | (F.col("kind") == 0) & usual | usual & (F.length("token") >= 3)
-    matched = known.join(lexicon, known.token == lexicon.form, "left").where(lost | (F.col("form").isNotNull() & accepted))
+    pairs = known.join(lexicon, known.token == lexicon.form, "left").where(lost | F.col("form").isNotNull()).withColumn("accepted", lost | accepted)
+    doubtful = pairs.where(~F.col("accepted") & (F.length("token") >= 3) & (F.length("word") >= 3)).select("token", "word").distinct()
+    directed = doubtful.mapInArrow(_directed, "token string, word string, chain string")
+    agreeing = in_texts.join(directed, "token").groupBy("text_id", "chain").agg(F.collect_set(F.struct("token", "word")).alias("pairs"), F.countDistinct("token").alias("n")).where(F.col("n") >= AGREEING)
+    proven = agreeing.select(F.explode("pairs").alias("p")).select("p.token", "p.word").distinct().withColumn("proven", F.lit(True))
+    unreal = proven.select(F.col("token").alias("word")).distinct().withColumn("unreal", F.lit(True))  # no words that others could stem from
+    real = pairs.join(unreal, "word", "left").where(lost | F.col("unreal").isNull()).withColumn("word", F.when(F.col("unreal").isNull(), F.col("word")))
+    matched = real.join(proven, ["token", "word"], "left").where(F.col("accepted") | F.col("proven"))
     best = F.struct((-F.col("kind")).alias("k"), F.col("n_word").alias("n"), F.when(F.col("kind") != 2, F.col("word")).alias("word"))
     return matched.groupBy("token").agg(F.max(F.when(F.col("word").isNotNull(), best)).alias("b")).select("token", F.col("b.word").alias("original"))
 
