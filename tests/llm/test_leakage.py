@@ -64,3 +64,22 @@ def test_similarity_and_empty_tables(spark):
     assert L.shingle_similarity(a, a) == 1.0 and L.shingle_similarity(a, a[:6] + ["x"] + a[7:]) < 0.8
     docs, items = corpus()
     assert run(spark, [], items).count() == 0 and run(spark, docs, []).count() == 0
+
+
+def test_near_windows_match_brute_force(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([1, 1, 2, 6, 15])))
+    items = [(i, " ".join(word() for _ in range(rnd.randrange(12, 30)))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        w = L.words(items[d % 12][1])
+        w[rnd.choice([0, -1, len(w) // 2, 11])] = word()
+        docs.append((d, " ".join(w)))
+    windows = lambda t: [w[i : i + 12] for w in [L.words(t)] for i in range(len(w) - 11)]
+    want = {}
+    for d, t in docs:
+        for i, p in items:
+            n = sum(L.shingle_similarity(a, b) >= L.SIMILARITY for a in windows(t) for b in windows(p))
+            if n:
+                want[d, i] = n
+    assert len(want) > 20 and {(r.doc_id, r.item_id): r.n_windows for r in run(spark, docs, items).collect()} == want

@@ -27,6 +27,10 @@ BLOCKS = ((0, 22), (22, 43), (43, 64))
 ITEMS_PER_PASS = 5_000
 CHUNK_WORDS = 60_000
 CACHE_WORDS = 300_000
+#: Pairs of windows weighed at once.
+PAIRS = 1_000_000
+SHINGLES = WINDOW_WORDS - SHINGLE_WORDS + 1
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
 def words(text: str | None) -> list[str]:
@@ -48,6 +52,22 @@ def fingerprints(votes: np.ndarray) -> np.ndarray:
     return np.packbits(twelve > 0, axis=1).view(np.uint64).ravel()
 
 
+def shingles_of(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, letters) of the shingle that begins at each word."""
+    n = max(0, len(hashes) - SHINGLE_WORDS + 1)
+    key, weight = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    for k in range(SHINGLE_WORDS):
+        key += hashes[k : k + n] * _MIX[k]
+        weight += lengths[k : k + n]
+    return key, weight
+
+
+def window_sums(weights: np.ndarray) -> np.ndarray:
+    """Sum of the shingle weights of each window."""
+    total = np.concatenate([[0], np.cumsum(weights)])
+    return total[SHINGLES:] - total[:-SHINGLES]
+
+
 def shingle_similarity(a: list[str], b: list[str]) -> float:
     """Weighted Jaccard similarity of the five-word shingles; a shingle weighs its letters."""
 
@@ -61,6 +81,12 @@ def shingle_similarity(a: list[str], b: list[str]) -> float:
     return both / either if either else 0.0
 
 
+def _expand(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(range, member) for each member of the ranges."""
+    at = np.repeat(np.arange(len(start)), count)
+    return at, start[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+
+
 @dataclass
 class ItemIndex:
     """Windows of a bounded number of items, found by any of their fingerprint's blocks."""
@@ -68,19 +94,29 @@ class ItemIndex:
     item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     fp: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     text: list[list[str]] = field(default_factory=list)
+    key: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     @classmethod
     def build(cls, items: list[tuple[int, str]]) -> ItemIndex:
-        out, fps, owners = cls(), [], []
+        out, fps, owners, shingles = cls(), [], [], []
         for item_id, passage in items:
             w = words(passage)
             if len(w) < WINDOW_WORDS:
                 continue
-            fps.append(fingerprints(_bits(np.array([xxhash.xxh64_intdigest(x) for x in w], np.uint64))))
+            hashes = np.array([xxhash.xxh64_intdigest(x) for x in w], np.uint64)
+            fps.append(fingerprints(_bits(hashes)))
+            key, weight = shingles_of(hashes, np.array([len(x) for x in w]))
+            q = np.arange(len(key))
+            low, high = np.maximum(0, q - SHINGLES + 1), np.minimum(q, len(w) - WINDOW_WORDS)
+            shingles.append((key, len(owners) + low, high - low + 1, window_sums(weight)))
             owners += [item_id] * (len(w) - WINDOW_WORDS + 1)
             out.text += [w[i : i + WINDOW_WORDS] for i in range(len(w) - WINDOW_WORDS + 1)]
         if fps:
             out.fp, out.item = np.concatenate(fps), np.array(owners, np.int64)
+            out.key, out.first, out.count, out.weight = (np.concatenate(x) for x in zip(*shingles))
         return out
 
     def prepare(self) -> None:
@@ -92,6 +128,37 @@ class ItemIndex:
             present[value] = True
             self.blocks.append((np.uint64(low), np.uint64((1 << (high - low)) - 1), present, value[order], order))
 
+        order = np.argsort(self.key, kind="stable")
+        self.keys, self.windows_from, self.windows_of = self.key[order], self.first[order], self.count[order]
+        self.some = np.zeros(1 << 22, bool)
+        self.some[self.key >> np.uint64(42)] = True
+
+    def sharing(self, hashes: np.ndarray, lengths: np.ndarray, inside: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, item window) pairs that may reach SIMILARITY, each once and none missed.
+
+        A similarity of s needs common shingles of at least s / (1 + s) of both windows' weights and
+        s of the window's own; what the shingles in common weigh at most is summed per pair.
+        """
+        key, weight = shingles_of(hashes, lengths)
+        low, high = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        maybe = np.flatnonzero(self.some[key >> np.uint64(42)])
+        low[maybe], high[maybe] = np.searchsorted(self.keys, key[maybe], "left"), np.searchsorted(self.keys, key[maybe], "right")
+        own = window_sums(weight)
+        kept = np.flatnonzero(inside & (window_sums(weight * (high > low)) >= SIMILARITY * own - 1e-6))
+        reach = np.concatenate([[0], np.cumsum(self.windows_of)])
+        cost = np.cumsum(window_sums(reach[high] - reach[low])[kept])
+        for part in np.split(kept, np.searchsorted(cost, np.arange(PAIRS, cost[-1], PAIRS)) if len(kept) else []):
+            w = np.repeat(part, SHINGLES)
+            p = (part[:, None] + np.arange(SHINGLES)).ravel()
+            at, hit = _expand(low[p], high[p] - low[p])
+            w, p = w[at], p[at]
+            at, o = _expand(self.windows_from[hit], self.windows_of[hit])
+            pairs, group = np.unique(w[at] * len(self.item) + o, return_inverse=True)
+            common = np.bincount(group, weight[p[at]], len(pairs))
+            left, right = np.divmod(pairs, max(1, len(self.item)))
+            good = common >= SIMILARITY / (1 + SIMILARITY) * (own[left] + self.weight[right]) - 1e-6
+            yield left[good], right[good]
+
     def near(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item window) pairs at most RADIUS bits apart, each once."""
         left, right = [], []
@@ -112,14 +179,14 @@ class ItemIndex:
         return pairs[:, 0], pairs[:, 1]
 
 
-def _search(index: ItemIndex):
+def _search(index: ItemIndex, near: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index.prepare()
         places: dict[str, int] = {}
-        votes = np.zeros((1024, 64), np.int8)
+        votes, hashes, lengths = np.zeros((1024, 64), np.int8), np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
 
         def scan(docs: list[tuple[int, list[str]]]) -> list[tuple]:
-            nonlocal votes
+            nonlocal votes, hashes, lengths
             flat = [w for _, ws in docs for w in ws]
             if len(flat) < WINDOW_WORDS:
                 return []
@@ -129,16 +196,18 @@ def _search(index: ItemIndex):
             if new:
                 base = len(places)
                 while base + len(new) > len(votes):
-                    votes = np.concatenate([votes, np.zeros_like(votes)])
-                votes[base : base + len(new)] = _bits(np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64))
+                    votes, hashes, lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (votes, hashes, lengths))
+                hashes[base : base + len(new)] = [xxhash.xxh64_intdigest(w) for w in new]
+                lengths[base : base + len(new)] = [len(w) for w in new]
+                votes[base : base + len(new)] = _bits(hashes[base : base + len(new)])
                 places.update(zip(new, range(base, base + len(new))))
-            fps = fingerprints(votes[np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))])
-            lengths = np.array([len(ws) for _, ws in docs])
-            owner = np.repeat(np.arange(len(docs)), lengths)
+            place = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
+            fps = fingerprints(votes[place]) if not near else np.zeros(len(flat) - WINDOW_WORDS + 1, np.uint64)
+            owner = np.repeat(np.arange(len(docs)), [len(ws) for _, ws in docs])
             inside = owner[: len(fps)] == owner[WINDOW_WORDS - 1 :]
-            windows, others = index.near(fps)
+            parts = index.sharing(hashes[place], lengths[place], inside) if near else [index.near(fps)]
             found: dict[tuple[int, int], list] = {}
-            for w, o in zip(windows.tolist(), others.tolist()):
+            for w, o in ((w, o) for ws, others in parts for w, o in zip(ws.tolist(), others.tolist())):
                 if not inside[w]:
                     continue
                 mine, theirs = flat[w : w + WINDOW_WORDS], index.text[o]
@@ -174,13 +243,14 @@ def _search(index: ItemIndex):
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, near: bool = True) -> DataFrame:
     """``doc_id, item_id, n_windows, n_exact, similarity`` of documents that hold item passages.
 
     Every window of ``WINDOW_WORDS`` words of every document is compared with every such window
-    of every item: fingerprints within ``RADIUS`` bits share at least one of RADIUS + 1 blocks,
-    so none is missed; candidates count if the weighted similarity of their five-word shingles
-    is ``SIMILARITY`` or more. ``n_exact`` counts the windows whose words are equal. Null, empty
+    of every item; pairs count if the weighted similarity of their five-word shingles is
+    ``SIMILARITY`` or more. Such pairs share shingles, by which they are looked up, so none is
+    missed. Without ``near``, only fingerprints within ``RADIUS`` bits are candidates: all equal
+    windows (0 bits apart), but few of the others. ``n_exact`` counts the windows whose words are equal. Null, empty
     and short texts and passages match nothing; repeated documents with one id count together;
     empty tables give an empty result; other columns are ignored. Items are held by tasks in
     blocks of ``ITEMS_PER_PASS``, each searched in a pass of its own over the documents.
@@ -191,7 +261,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     found = None
     for k in range(passes):
         block = held.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()  # a bounded block
-        part = docs.mapInArrow(_search(ItemIndex.build([tuple(r) for r in block])), "doc_id long, item_id long, n_windows long, n_exact long, similarity double")
+        part = docs.mapInArrow(_search(ItemIndex.build([tuple(r) for r in block]), near), "doc_id long, item_id long, n_windows long, n_exact long, similarity double")
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(
         F.sum("n_windows").alias("n_windows"), F.sum("n_exact").alias("n_exact"), F.max("similarity").alias("similarity")

@@ -30,7 +30,7 @@ def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p9_leaks(spark, sf_dir).where("n_exact > 0").select("doc_id", "item_id")
+    return leaked_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"), near=False).where("n_exact > 0").select("doc_id", "item_id")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
