@@ -62,3 +62,10 @@ def test_simulated_traces(spark):
     first = rows[0]
     (mine,) = [h for h in homes if h.participant == "user1"]
     assert T.arc_m(mine.lat, mine.lon, first.lat, first.lon) < 100
+
+
+def test_simulated_calls_and_texts_are_both_put_out(spark):
+    from tracelode.queries.kernels import sim_logs
+
+    calls, texts = Z.simulate_logs(spark)
+    assert {r["kind"]: r["count"] for r in sim_logs(spark, "").groupBy("kind").count().collect()} == {"call": calls.count(), "text": texts.count()}

@@ -105,8 +105,9 @@ def poi_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sim_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simulated texts; the tables of the directory aren't read."""
-    return simulate.simulate_logs(spark)[1]
+    """Simulated calls and texts by ``kind``; the tables of the directory aren't read."""
+    calls, texts = simulate.simulate_logs(spark)
+    return calls.withColumn("kind", F.lit("call")).unionByName(texts.withColumn("kind", F.lit("text")), allowMissingColumns=True)
 
 
 def sim_gps(spark: SparkSession, sf_dir: str) -> DataFrame:
