@@ -5,7 +5,7 @@ import json
 import pandas as pd
 import pytest
 
-from tracelode.operators.compaction import compact, longest_first, parse_file, published
+from tracelode.operators.compaction import compact, longest_first, manifest_files, parse_file, published
 from tracelode.session import fresh_dir
 
 HEAD = "timestamp,UTC time,x\n"
@@ -42,10 +42,13 @@ def test_every_record_stands_once_and_readers_follow_the_manifest(spark):
     files += [(100 + i, *f[1:]) for i, f in enumerate(files[:10])] + [(200, "p", None, None), (201, None, "gps", HEAD + "1,u,1")]
     df = spark.createDataFrame(files, "file_id long, participant string, stream string, content string")
     target = fresh_dir(spark, "t")
-    manifest = compact(spark, df, target, target_bytes=4000, files_per_shard=25)
+    manifest = compact(spark, df, target, target_bytes=1000, groups_per_shard=3)
     rows = published(spark, target)
     assert manifest["n_rows"] == rows.count() == rows.select("participant", "stream", "record_ms").distinct().count() == 60 * 20 + 1
-    assert 1 < len(manifest["files"]) < 40 and sum(f["n_rows"] for f in manifest["files"]) == manifest["n_rows"]
+    parts = manifest_files(spark, target).toPandas()
+    assert 1 < len(parts) < 40 and len(parts) == manifest["n_files"] and parts.n_rows.sum() == manifest["n_rows"]
+    loads = parts.groupby("shard").load.agg(["max", "mean", "count"])
+    assert loads["count"].max() > 1 and len(loads) > 1 and (loads["max"] <= 1.3 * loads["mean"]).all()
     assert json.loads(rows.where("record_ms = 3005").first().fields) == {"x": "5"}
     rows.limit(1).write.parquet(f"{target}/data/stray.parquet")
     assert published(spark, target).count() == manifest["n_rows"]

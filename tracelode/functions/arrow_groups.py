@@ -52,8 +52,6 @@ def sorted_groups(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
 
-def widened(scan: DataFrame) -> DataFrame:
-    """A scan dealt out evenly if its files give no more than half as many splits as there are cores."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
-    return scan.repartition(cores) if splits * 2 <= cores else scan
+def widened(scan: DataFrame, least_tasks: int | None) -> DataFrame:
+    """A scan dealt out over ``least_tasks`` tasks where its files give fewer splits; None leaves every scan as it is."""
+    return scan if least_tasks is None or scan.rdd.getNumPartitions() >= least_tasks else scan.repartition(least_tasks)

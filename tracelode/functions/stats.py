@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import date, timedelta
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,28 +33,26 @@ def gap_multiplier(seconds: Column) -> Column:
     return F.when(seconds <= 1800, 1).when(seconds <= 10_800, 5).when(seconds <= 64_800, 10).otherwise(50)
 
 
-def _nth_weekday(year: int, month: int, weekday: int, n: int) -> date:
-    """The n-th weekday (Monday 0) of a month; n = -1 is the last one."""
-    if n > 0:
-        first = date(year, month, 1)
-        return first + timedelta(days=(weekday - first.weekday()) % 7 + 7 * (n - 1))
-    last = (date(year + month // 12, month % 12 + 1, 1)) - timedelta(days=1)
-    return last - timedelta(days=(last.weekday() - weekday) % 7)
+#: Federal holidays as (month, day) and as (month, weekday from Monday 0, which one in the month; -1 is the last).
+FIXED_HOLIDAYS = ((1, 1), (6, 19), (7, 4), (11, 11), (12, 25))
+MOVING_HOLIDAYS = ((1, 0, 3), (2, 0, 3), (5, 0, -1), (9, 0, 1), (10, 0, 2), (11, 3, 4))
+JUNETEENTH_SINCE = 2021
 
 
-def us_holidays(first_year: int, last_year: int) -> list[tuple[date, str]]:
-    """Federal holidays by their rules, with the observed Friday or Monday of those on a weekend."""
-    out = []
-    for y in range(first_year, last_year + 1):
-        fixed = [(date(y, 1, 1), "New Year's Day"), (date(y, 7, 4), "Independence Day"), (date(y, 11, 11), "Veterans Day"), (date(y, 12, 25), "Christmas Day")]
-        if y >= 2021:
-            fixed.append((date(y, 6, 19), "Juneteenth"))
-        moving = [(1, 0, 3, "Martin Luther King Jr. Day"), (2, 0, 3, "Washington's Birthday"), (5, 0, -1, "Memorial Day"), (9, 0, 1, "Labor Day"), (10, 0, 2, "Columbus Day"), (11, 3, 4, "Thanksgiving")]
-        out += fixed + [(_nth_weekday(y, m, w, n), name) for m, w, n, name in moving]
-        out += [(d - timedelta(days=1) if d.weekday() == 5 else d + timedelta(days=1), f"{name} (observed)") for d, name in fixed if d.weekday() >= 5]
-    return sorted(out)
+def _fixed_holiday(day: Column) -> Column:
+    any_of = F.lit(False)
+    for month, number in FIXED_HOLIDAYS:
+        here = (F.month(day) == month) & (F.dayofmonth(day) == number)
+        any_of = any_of | (here & (F.year(day) >= JUNETEENTH_SINCE) if month == 6 else here)
+    return any_of
 
 
-def is_us_holiday(day: Column, first_year: int = 2000, last_year: int = 2050) -> Column:
-    """Whether a date is a holiday of the given years; null dates are none."""
-    return F.coalesce(day.cast("date").isin([d for d, _ in us_holidays(first_year, last_year)]), F.lit(False))
+def is_us_holiday(day: Column) -> Column:
+    """Whether a date of any year is a federal holiday by today's rules, or the Friday or Monday on which one of a weekend is observed; null dates are none."""
+    day = day.cast("date")
+    found = _fixed_holiday(day)
+    found = found | ((F.weekday(day) == 4) & _fixed_holiday(F.date_add(day, 1))) | ((F.weekday(day) == 0) & _fixed_holiday(F.date_add(day, -1)))
+    for month, weekday, which in MOVING_HOLIDAYS:
+        place = F.dayofmonth(day) > F.dayofmonth(F.last_day(day)) - 7 if which < 0 else F.ceil(F.dayofmonth(day) / 7) == which
+        found = found | ((F.month(day) == month) & (F.weekday(day) == weekday) & place)
+    return F.coalesce(found, F.lit(False))

@@ -8,6 +8,7 @@ gap, so a repeated task gives the same result.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from dataclasses import dataclass
@@ -157,7 +158,7 @@ class _Filler:
         """Steps from both ends in turn until they meet."""
         ends = [[gap[0], gap[1], gap[2], kinds[0] == FLIGHT], [gap[3], gap[4], gap[5], kinds[1] == FLIGHT]]
         out: list[list[float]] = []
-        for step in range(2000):
+        for step in itertools.count():
             (x0, y0, t0, _), (x1, y1, t1, _) = ends
             if t0 >= t1:
                 return out

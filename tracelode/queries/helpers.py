@@ -50,7 +50,7 @@ def question_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weekend_holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = load(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
-    return days.where((F.weekday("day") == 4) & stats.is_us_holiday(F.col("day"), 1990, 2010)).select("day")
+    return days.where((F.weekday("day") == 4) & stats.is_us_holiday(F.col("day"))).select("day")
 
 
 def gap_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:

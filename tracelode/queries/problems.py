@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions.instants import sensor_instant, stamp_ms, survey_instant
-from tracelode.operators.compaction import compact, published
+from tracelode.operators.compaction import compact, manifest_files, published
 from tracelode.operators.packed import packed_choices
 from tracelode.operators.regular_grid import regular_grid
 from tracelode.operators.sessions import sessions
@@ -14,6 +14,11 @@ from tracelode.operators.stamps import normalise_stamps
 from tracelode.operators.stops import HOUR_MS, stops_and_trips
 from tracelode.session import fresh_dir
 from tracelode.sources.tables import load
+from tracelode.streaming.live import replayed_sessions
+
+
+#: Holes of the accelerometer series up to this length are filled, longer ones marked.
+FILL_GAP_MS = 10_000
 
 
 def p2_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +29,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_sessions(spark, sf_dir).select("participant", "survey_id", "start_ms", "end_ms")
 
 
+def p2_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions of ``p2_sessions`` from a stream: the rows arrive in eight batches in their order in the file, late ones after their time."""
+    rows = load(spark, sf_dir, "survey_timings").select("participant", "survey_id", F.timestamp_millis(survey_instant()).alias("at"), F.monotonically_increasing_id().alias("arrival"))
+    return replayed_sessions(spark, rows, ["participant", "survey_id"], "at", "arrival", late="400 days")
+
+
 def p3_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = regular_grid(load(spark, sf_dir, "accelerometer"), "participant", sensor_instant(), ["x", "y", "z"])
+    grid = regular_grid(load(spark, sf_dir, "accelerometer"), "participant", sensor_instant(), ["x", "y", "z"], fill_gap_ms=FILL_GAP_MS)
     return grid.withColumnRenamed("tick", "epoch_second")
 
 
@@ -39,17 +50,26 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return published(spark, target).select("participant", "stream", "record_ms")
 
 
+def p4_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compaction into many small groups: rows, distinct records, and whether in every shard the fullest group holds at most a tenth more than the mean."""
+    target = fresh_dir(spark, "balanced")
+    compact(spark, load(spark, sf_dir, "chunk_files"), target, target_bytes=16 << 10)
+    loads = manifest_files(spark, target).groupBy("shard").agg((F.max("load") / F.avg("load")).alias("r"))
+    keys = ["participant", "stream", "record_ms"]
+    rows = published(spark, target).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_records"))
+    return rows.crossJoin(loads.agg((F.max("r") <= 1.1).alias("balanced")))  # one row each
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = load(spark, sf_dir, "stamp_log").select(
         F.lit("stamp_log").alias("tbl"), "record_id", F.col("raw_value").alias("raw"), F.col("device_zone").alias("zone"), "day_first"
     )
     history = load(spark, sf_dir, "survey_history").select(
         F.lit("survey_history").alias("tbl"), F.col("history_id").alias("record_id"), F.col("archive_start").alias("raw"), F.col("study_zone").alias("zone"), "day_first"
-    )
+    ).distinct()  # a version may be listed twice; stamp_log ids are unique
     both = normalise_stamps(log.unionByName(history), "raw", "zone", "day_first")
-    # The set drops repeats and nulls; a filter would be pushed down and run the parsing twice.
-    readable = both.groupBy("tbl", "record_id").agg(F.collect_set("utc_ms").alias("found"))
-    return readable.select("tbl", "record_id", F.explode("found").alias("utc_ms"))
+    # Exploding drops the nulls without a filter, which would be pushed down and run the parsing twice.
+    return both.select("tbl", "record_id", F.explode(F.array_compact(F.array("utc_ms"))).alias("utc_ms"))
 
 
 def p6_stops_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +108,7 @@ WITH e AS (SELECT participant, coalesce("timestamp", epoch_us(try_cast(utc_time
 ORACLE = {
     "p2_found": _SESSIONS.format(more=""),
     "p2_sessions": _SESSIONS.format(more=", max(t) - min(t) AS duration_ms, count(*) AS n_events"),
+    "p2_stream": _SESSIONS.format(more=", count(*) AS n_events"),
     "p3_found": _READINGS
     + """,
  l AS (SELECT participant, t, lead(t) OVER (PARTITION BY participant ORDER BY t) AS nxt FROM k)
@@ -103,6 +124,18 @@ WITH f AS (SELECT participant, stream, list_filter(string_split(replace(replace(
 SELECT DISTINCT participant, stream, coalesce(try_cast(nullif(trim(ts), '') AS BIGINT), epoch_us(try_cast(utc AS TIMESTAMP)) // 1000) AS record_ms FROM k
 WHERE nullif(trim(ts), '') IS NOT NULL OR try_cast(utc AS TIMESTAMP) IS NOT NULL"""
 
+ORACLE["p4_balance"] = f"SELECT count(*) AS n_rows, count(*) AS n_records, true AS balanced FROM ({ORACLE['p4_found']})"
+
+ORACLE["p3_grid"] = _READINGS + """,
+ s AS (SELECT participant, t // 1000 AS tick, count(*) AS n, min(t) AS first_t, max(t) AS last_t, min(struct_pack(t := t, x := x, y := y, z := z)) AS f, max(struct_pack(t := t, x := x, y := y, z := z)) AS l FROM k GROUP BY ALL),
+ m AS (SELECT *, lag(last_t) OVER w AS left_t, lag(tick) OVER w AS left_tick, lag(l) OVER w AS lf FROM s WINDOW w AS (PARTITION BY participant ORDER BY tick)),
+ j AS (SELECT *, coalesce(first_t - left_t <= 60000, false) AS joined FROM m),
+ g AS (SELECT *, unnest(range(CASE WHEN joined THEN left_tick + 1 ELSE tick END, tick + 1)) AS at_ FROM j),
+ v AS (SELECT *, CASE WHEN joined AND first_t - left_t <= 10000 THEN (at_ * 1000 - left_t)::DOUBLE / (first_t - left_t)::DOUBLE END AS share FROM g)
+SELECT participant, at_ AS epoch_second, CASE WHEN at_ < tick THEN 0 ELSE n END AS n_readings, at_ < tick AS filled,
+ CASE WHEN NOT joined THEN f.x ELSE lf.x + (f.x - lf.x) * share END AS x, CASE WHEN NOT joined THEN f.y ELSE lf.y + (f.y - lf.y) * share END AS y,
+ CASE WHEN NOT joined THEN f.z ELSE lf.z + (f.z - lf.z) * share END AS z FROM v"""
+
 #: No choice of a question holds another one, so a choice's place in the text tells its position.
 ORACLE["p7_found"] = """
 WITH q AS (SELECT unnest(from_json(survey_json, '[{"question_id": "VARCHAR", "answers": [{"text": "VARCHAR"}]}]')) AS q FROM survey_history WHERE survey_json IS NOT NULL),
@@ -117,9 +150,11 @@ SELECT participant, survey_id, answers_ms, question_id, field, row_number() OVER
 QUERIES = {
     "p2_found": p2_found,
     "p2_sessions": p2_sessions,
+    "p2_stream": p2_stream,
     "p3_found": p3_found,
     "p3_grid": p3_grid,
     "p4_found": p4_found,
+    "p4_balance": p4_balance,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_stops_trips": p6_stops_trips,

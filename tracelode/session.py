@@ -9,9 +9,10 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Settings every operator relies on; they can be changed at run time.
-PINNED = {
-    "spark.sql.session.timeZone": "UTC",
+#: What results depend on; set in every session that tables are loaded with.
+PINNED = {"spark.sql.session.timeZone": "UTC"}
+#: What speed depends on; set only in sessions made here.
+TUNED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # HotSpot never compiles methods beyond this; such stages run operator by operator instead.
@@ -24,7 +25,7 @@ def build_session(app: str = "tracelode", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**PINNED, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
+    for key, value in {**PINNED, **TUNED, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -47,7 +48,7 @@ def _ship(spark: SparkSession) -> None:
 
 
 def pin(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to a session made elsewhere and ship the package to its workers."""
+    """Set the time zone of a session made elsewhere and ship the package to its workers."""
     _ship(spark)
     for key, value in PINNED.items():
         if spark.conf.get(key, None) != value:
@@ -56,7 +57,7 @@ def pin(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is named (tests)."""
+    """The folder of ``spark.checkpoint.dir``; where none is named, a temporary one if all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -64,18 +65,24 @@ def shared_dir(spark: SparkSession) -> str:
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="tracelode-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable: the shared folder is set if the context has none."""
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    """A new path below the shared folder, removed when the application ends; the path itself isn't created yet."""
+    jvm = spark.sparkContext._jvm
+    parent = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    fs = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(parent)
+    fs.deleteOnExit(parent)
+    return f"{parent.toString()}/data"
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder of scratch data."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
