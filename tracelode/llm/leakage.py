@@ -243,7 +243,7 @@ def _search(index: ItemIndex, near: bool):
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, near: bool = True) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, near: bool = True, least_tasks: int | None = None) -> DataFrame:
     """``doc_id, item_id, n_windows, n_exact, similarity`` of documents that hold item passages.
 
     Every window of ``WINDOW_WORDS`` words of every document is compared with every such window
@@ -255,7 +255,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, near: bool = True) -> D
     empty tables give an empty result; other columns are ignored. Items are held by tasks in
     blocks of ``ITEMS_PER_PASS``, each searched in a pass of its own over the documents.
     """
-    docs = widened(documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()))
+    docs = widened(documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), least_tasks)
     held = items.select("item_id", "passage").where(F.col("item_id").isNotNull() & F.col("passage").isNotNull())
     passes = max(1, -(-held.count() // ITEMS_PER_PASS))
     found = None

@@ -131,14 +131,14 @@ def _encode(path: str):
     return run
 
 
-def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, least_tasks: int | None = None) -> DataFrame:
     """``doc_id, ids``: token ids of every row's text, without special tokens.
 
     Null and empty texts give an empty list; their strings of special tokens are ordinary text;
     texts and words of any length are encoded whole; repeated rows and null ids are kept; an
     empty table gives an empty result; other columns are ignored. One scan, without a shuffle
-    unless its files give no more than half as many splits as there are cores.
+    unless its files give fewer splits than ``least_tasks``.
     ``vocabulary`` must be readable on every worker.
     """
     kind = dict(documents.dtypes)[doc_id]
-    return widened(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(_encode(vocabulary), f"doc_id {kind}, ids array<int>")
+    return widened(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), least_tasks).mapInArrow(_encode(vocabulary), f"doc_id {kind}, ids array<int>")
