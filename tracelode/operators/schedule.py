@@ -51,7 +51,8 @@ def delivery_times(config: DataFrame, people: DataFrame, start: str, end: str, i
     weekly = weekly.select("config_id", at(F.date_add(monday, (F.col("week") * 7 + F.col("weekday")).cast("int")), F.col("s")).alias("delivery_time"))
     part = lambda k: F.get(F.col("a"), F.lit(k))
     absolute = config.select("config_id", F.explode("absolute_timings").alias("a")).select("config_id", at(F.make_date(part(0).cast("int"), part(1).cast("int"), part(2).cast("int")), part(3)).alias("delivery_time"))
-    common = people.select("participant").crossJoin(F.broadcast(weekly.unionByName(absolute)))  # every participant gets the study's timetable
+    timetable = weekly.unionByName(absolute).groupBy(F.lit(1).alias("_study")).agg(F.collect_list(F.struct("config_id", "delivery_time")).alias("_t"))  # bounded by the study's weeks
+    common = people.select("participant", F.lit(1).alias("_study")).join(timetable, "_study").select("participant", F.inline("_t"))  # every participant gets the study's timetable
     if interventions is not None:
         relative = config.select("config_id", F.explode("relative_timings").alias("a")).select("config_id", part(0).alias("intervention"), part(1).cast("int").alias("days"), part(2).cast("long").alias("s"))
         timed = interventions.where(F.col("day").isNotNull()).join(relative, "intervention").join(people.select("participant"), "participant", "left_semi")

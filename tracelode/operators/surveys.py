@@ -134,11 +134,14 @@ def changed_answers(numbered: DataFrame) -> DataFrame:
 
 
 def answer_summary(changed: DataFrame) -> DataFrame:
-    """Per participant and question: answers, mean time and number, most common answer (ties: the least)."""
+    """Per participant and question: answers, mean time and number, most common answer (ties: the least).
+
+    ``changed``: rows of ``changed_answers`` with ``time_to_answer``.
+    """
     keys = ["survey_id", "participant", "question_id", "question_type"]
     totals = changed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_answers"),
-        F.avg((F.col("last_time") - F.col("first_time")) / 1000).alias("average_time_to_answer"),
+        F.avg("time_to_answer").alias("average_time_to_answer"),
         F.avg("num_answers").alias("average_number_of_answers"),
     )
     single = changed.select(*keys, F.explode("all_answers").alias("answer")).where(F.col("answer").isNotNull()).groupBy(*keys, "answer").agg(F.count(F.lit(1)).alias("n"))
