@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.functions.geo import great_circle_m
+from tracelode.functions.ordered import with_neighbour, with_running_total
 
 
 def quality_gate(fixes: DataFrame, rows_per_file: int = 60, least_share: float = 0.05, file_s: int = 3600) -> DataFrame:
@@ -21,18 +22,24 @@ def quality_gate(fixes: DataFrame, rows_per_file: int = 60, least_share: float =
     return files.groupBy("participant").agg(F.count(F.lit(1)).alias("n_files"), share.alias("quality")).withColumn("passes", F.col("quality") > least_share)
 
 
+def _day(t: str = "t") -> Column:
+    return F.floor(F.col(t) / 86_400).cast("long")
+
+
 def collapse(fixes: DataFrame, interval: int = 10, keep_last: bool = False) -> DataFrame:
-    """Mean position per interval: ``participant, bin, t, lat, lon, next_bin, origin``.
+    """Mean position per interval: ``participant, day, bin, t, lat, lon, next_bin, origin``.
 
     Intervals are anchored at a participant's first fix; ``t`` is the middle of one. The last
-    interval is left out unless ``keep_last``, but ends the gap before it.
+    interval is left out unless ``keep_last``, but ends the gap before it. ``day`` (UTC) is the
+    bucket in which this and the following steps sort; no participant is sorted as a whole.
     """
     origins = fixes.groupBy("participant").agg(F.min("t").alias("origin"))
     binned = fixes.join(origins, "participant").withColumn("bin", F.floor((F.col("t") - F.col("origin")) / interval).cast("long"))
     means = binned.groupBy("participant", "origin", "bin").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    ahead = means.withColumn("next_bin", F.lead("bin").over(Window.partitionBy("participant").orderBy("bin")))
+    timed = means.withColumn("t", F.col("origin") + (F.col("bin") + 0.5) * interval).withColumn("day", _day())
+    ahead = with_neighbour(timed, "participant", "day", ["bin"], ["bin"], "_next", ahead=True).withColumn("next_bin", F.col("_next.bin"))
     rows = ahead if keep_last else ahead.where(F.col("next_bin").isNotNull())
-    return rows.select("participant", "bin", (F.col("origin") + (F.col("bin") + 0.5) * interval).alias("t"), "lat", "lon", "next_bin", "origin")
+    return rows.select("participant", "day", "bin", "t", "lat", "lon", "next_bin", "origin")
 
 
 def gap_rows(collapsed: DataFrame, interval: int = 10) -> DataFrame:
@@ -44,24 +51,26 @@ def gap_rows(collapsed: DataFrame, interval: int = 10) -> DataFrame:
 
 def chunks(collapsed: DataFrame) -> DataFrame:
     """Adds ``chunk``: how many gaps lie before the row."""
-    before = Window.partitionBy("participant").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     gap = F.when(F.col("next_bin") - F.col("bin") > 1, 1).otherwise(0)
-    return collapsed.withColumn("chunk", F.coalesce(F.sum(gap).over(before), F.lit(0)))
+    total = with_running_total(collapsed.withColumn("_gap", gap), "participant", "day", ["bin"], "_gap", "_upto")
+    return total.withColumn("chunk", F.col("_upto") - F.col("_gap")).drop("_gap", "_upto")
 
 
 def segments(collapsed: DataFrame, pause_m: float = 10.0) -> DataFrame:
     """Steps between neighbouring intervals: ``participant, status, t0, lat0, lon0, t1, lat1, lon1`` (1 flight, 2 pause)."""
-    window = Window.partitionBy("participant").orderBy("bin")
-    rows = collapsed.select("participant", "bin", F.col("t").alias("t0"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), *[F.lead(c).over(window).alias(f"{c}1") for c in ("t", "lat", "lon")], F.lead("bin").over(window).alias("_b"))
+    near = with_neighbour(collapsed, "participant", "day", ["bin"], ["bin", "t", "lat", "lon"], "_n", ahead=True)
+    rows = near.where(F.col("_n.bin") == F.col("bin") + 1).select(
+        "participant", F.col("t").alias("t0"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), F.col("_n.t").alias("t1"), F.col("_n.lat").alias("lat1"), F.col("_n.lon").alias("lon1")
+    )
     step = great_circle_m(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1"))
-    return rows.where(F.col("_b") == F.col("bin") + 1).withColumn("status", F.when(step < pause_m, 2).otherwise(1)).drop("bin", "_b")
+    return rows.withColumn("status", F.when(step < pause_m, 2).otherwise(1))
 
 
 def merge_pauses(segs: DataFrame) -> DataFrame:
     """Runs of touching pauses as one: mean start position, first start, last end."""
-    order = Window.partitionBy("participant").orderBy("t0")
-    opens = F.when((F.col("status") == 2) & (F.lag("status").over(order) == 2) & (F.lag("t1").over(order) == F.col("t0")), 0).otherwise(1)
-    runs = segs.withColumn("_o", opens).withColumn("_run", F.sum("_o").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = with_neighbour(segs.withColumn("_day", _day("t0")), "participant", "_day", ["t0"], ["status", "t1"], "_p")
+    opens = F.when((F.col("status") == 2) & (F.col("_p.status") == 2) & (F.col("_p.t1") == F.col("t0")), 0).otherwise(1)
+    runs = with_running_total(rows.withColumn("_o", opens), "participant", "_day", ["t0"], "_o", "_run")
     pauses = runs.where("status = 2").groupBy("participant", "_run").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.avg("lat0").alias("lat"), F.avg("lon0").alias("lon"), F.count(F.lit(1)).alias("n_merged"))
     return pauses.drop("_run")
 

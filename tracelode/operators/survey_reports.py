@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelode.operators.surveys import NO_ANSWER, ORDER, SUBMITTED, previous_row, standard_question_type
+from tracelode.functions.ordered import with_neighbour
+from tracelode.operators.surveys import NO_ANSWER, ORDER, SUBMITTED, standard_question_type
 
 #: Android's name of a radio question, and the day after which it stores the place of a choice instead of its text.
 ANDROID_RADIO, ANDROID_PLACES_SINCE = "Radio Button Question", "2016-12-06"
@@ -31,7 +32,7 @@ def opened_lines(numbered: DataFrame) -> DataFrame:
     (survey, participant, time); all rows of that participant and instant are marked. The start
     is the first instant of the row's instance; questions count once and only with a real answer.
     """
-    rows = previous_row(numbered, "survey_id", "participant", ORDER, ["instance"])
+    rows = with_neighbour(numbered, "survey_id", "participant", ORDER, ["instance"], "prev")
     opens = F.coalesce(F.col("instance") != F.col("prev.instance"), F.lit(True)).cast("int")
     instance = Window.partitionBy("survey_id", "participant", "instance")
     answered = F.collect_set(F.when(real_answer(F.col("answer")), F.col("question_id"))).over(instance)  # at most a survey's questions

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions.instants import survey_instant
+from tracelode.functions.ordered import with_neighbour
 
 RENDERED, SUBMIT = "Survey first rendered and displayed to user", "User hit submit"
 SUBMITTED = ("submitted", SUBMIT)
@@ -49,26 +50,6 @@ def survey_events(timings: DataFrame) -> DataFrame:
     return rows.join(first, "survey_id", "left").select("participant", "survey_id", "t_ms", repaired.alias("question_id"), "question_type", "event", "answer")
 
 
-def previous_row(df: DataFrame, outer: str, inner: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Adds ``prev``: ``columns`` of the row before in the order (outer, inner, *order), and null at an outer's start.
-
-    Only (outer, inner) groups are sorted as wholes; the last row of each is handed to the next
-    inner group through a table with one row per group.
-    """
-    here = F.struct(*columns)
-    ends = df.groupBy(outer, inner).agg(F.max(F.struct(*order, *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])).alias("_end"))
-    handed = ends.select(
-        outer, inner, F.struct(*[F.col(f"_end._{i}").alias(c) for i, c in enumerate(columns)]).alias("_own")
-    ).withColumn("_handed", F.lag("_own").over(Window.partitionBy(outer).orderBy(inner)))
-    window = Window.partitionBy(outer, inner).orderBy(*order)
-    return (
-        df.withColumn("_lag", F.lag(here).over(window))
-        .join(handed.select(outer, inner, "_handed"), [outer, inner])
-        .withColumn("prev", F.coalesce("_lag", "_handed"))
-        .drop("_lag", "_handed")
-    )
-
-
 def number_events(events: DataFrame, gap_ms: int = 7_200_000) -> DataFrame:
     """Adds ``question_index`` and ``instance`` to the rows of ``survey_events``.
 
@@ -78,7 +59,7 @@ def number_events(events: DataFrame, gap_ms: int = 7_200_000) -> DataFrame:
     that in the order (survey, participant, time), so it may be another participant's; ties go
     by question, event and answer.
     """
-    rows = previous_row(events, "survey_id", "participant", ORDER, ["question_id", "event", "t_ms"])
+    rows = with_neighbour(events, "survey_id", "participant", ORDER, ["question_id", "event", "t_ms"], "prev")
     changed = F.coalesce(F.col("question_id") != F.col("prev.question_id"), F.lit(True))
     opens = (
         F.col("prev").isNull()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions import geo
+from tracelode.functions.ordered import with_neighbour
 from tracelode.operators import mobility as M
 from tracelode.operators.stops import clean_fixes
 from tracelode.sources.tables import load
@@ -56,16 +57,14 @@ def lon_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gc_distance_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window = Window.partitionBy("participant").orderBy("bin")
-    rows = _collapsed(spark, sf_dir).withColumn("_la", F.lag("lat").over(window)).withColumn("_lo", F.lag("lon").over(window)).where("_la IS NOT NULL")
-    return rows.select("participant", "bin", F.round(geo.great_circle_m(F.col("_la"), F.col("_lo"), F.col("lat"), F.col("lon")), 0).alias("step_m"))
+    rows = with_neighbour(_collapsed(spark, sf_dir), "participant", "day", ["bin"], ["lat", "lon"], "p").where("p IS NOT NULL")
+    return rows.select("participant", "bin", F.round(geo.great_circle_m(F.col("p.lat"), F.col("p.lon"), F.col("lat"), F.col("lon")), 0).alias("step_m"))
 
 
 def great_circle_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window = Window.partitionBy("participant").orderBy("bin")
-    around = {"a": F.lag("lat").over(window), "b": F.lag("lon").over(window), "c": F.lead("lat").over(window), "d": F.lead("lon").over(window)}
-    rows = _collapsed(spark, sf_dir).withColumns(around).where("a IS NOT NULL AND c IS NOT NULL")
-    away = geo.great_circle_offset_m(*[F.col(c) for c in ("lat", "lon", "a", "b", "c", "d")])
+    before = with_neighbour(_collapsed(spark, sf_dir), "participant", "day", ["bin"], ["lat", "lon"], "p")
+    rows = with_neighbour(before, "participant", "day", ["bin"], ["lat", "lon"], "q", ahead=True).where("p IS NOT NULL AND q IS NOT NULL")
+    away = geo.great_circle_offset_m(*[F.col(c) for c in ("lat", "lon", "p.lat", "p.lon", "q.lat", "q.lon")])
     return rows.select("participant", "bin", F.round(away, 0).alias("offset_m"))
 
 
@@ -128,6 +127,16 @@ def _gc(a: str, b: str, c: str, d: str) -> str:
     return f"6371000 * acos(greatest(-1, least(1, cos(radians({a})) * cos(radians({c})) * cos(radians({b}) - radians({d})) + sin(radians({a})) * sin(radians({c})))))"
 
 
+def _off(y: str, x: str, a: str, b: str, c: str, d: str) -> str:
+    """Distance of (y, x) from the great circle through (a, b) and (c, d)."""
+    xyz = lambda p, q: (f"cos(radians({p})) * cos(radians({q}))", f"cos(radians({p})) * sin(radians({q}))", f"sin(radians({p}))")
+    u, v, w = xyz(a, b), xyz(c, d), xyz(y, x)
+    n = [f"(({u[i]}) * ({v[j]}) - ({u[j]}) * ({v[i]}))" for i, j in ((1, 2), (2, 0), (0, 1))]
+    size = f"(sqrt({' + '.join(f'{k} * {k}' for k in n)}) + 1e-6)"
+    cosine = " + ".join(f"{k} / {size} * ({m})" for k, m in zip(n, w, strict=True))
+    return f"CASE WHEN abs({a} - {c}) < 1e-6 AND abs({b} - {d}) < 1e-6 THEN 0 ELSE abs(pi() / 2 - acos(greatest(-1, least(1, {cosine})))) * 6371000 END"
+
+
 _SEG = _col(60) + f""",
  s0 AS (SELECT participant, bin, t AS t0, lat AS lat0, lon AS lon0, lead(t) OVER w AS t1, lead(lat) OVER w AS lat1, lead(lon) OVER w AS lon1, lead(bin) OVER w AS b FROM c WINDOW w AS (PARTITION BY participant ORDER BY bin)),
  s AS (SELECT participant, t0, lat0, lon0, t1, lat1, lon1, CASE WHEN {_gc("lat0", "lon0", "lat1", "lon1")} < 10 THEN 2 ELSE 1 END AS status FROM s0 WHERE b = bin + 1)"""
@@ -150,6 +159,9 @@ SELECT participant, count(*) AS n_files, round(count(*) FILTER (n > 60) / (count
     "gps_chunk_ids": _col(10) + " SELECT participant, bin, coalesce(sum(CASE WHEN next_bin - bin > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY participant ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chunk FROM c",
     "lon_wrap": """SELECT DISTINCT participant, "timestamp", round(((longitude + 180) % 360 + 360) % 360 - 180 + 13e-9, 6) AS lon FROM (SELECT DISTINCT participant, "timestamp", longitude FROM gps WHERE longitude IS NOT NULL)""",
     "gc_distance_steps": _col(10) + f", l AS (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM c WINDOW w AS (PARTITION BY participant ORDER BY bin)) SELECT participant, bin, round({_gc('la', 'lo', 'lat', 'lon')}, 0) AS step_m FROM l WHERE la IS NOT NULL",
+    "great_circle_offset": _col(10) + f""",
+ l AS (SELECT participant, bin, lat, lon, lag(lat) OVER w AS la, lag(lon) OVER w AS lo, lead(lat) OVER w AS na, lead(lon) OVER w AS no FROM c WINDOW w AS (PARTITION BY participant ORDER BY bin))
+SELECT participant, bin, round({_off("lat", "lon", "la", "lo", "na", "no")}, 0) AS offset_m FROM l WHERE la IS NOT NULL AND na IS NOT NULL""",
     "pause_merge_islands": _PAUSE + " SELECT participant, t0::DOUBLE AS t0, t1::DOUBLE AS t1, round(lat + 13e-9, 6) AS lat, round(lon + 13e-9, 6) AS lon, n_merged FROM p",
     "bin_overlap_clip": _CLIP + " SELECT participant, bin, status, t0::DOUBLE AS t0, t1::DOUBLE AS t1, round(lat0 + 13e-8, 5) AS lat0, round(lon0 + 13e-8, 5) AS lon0, round(lat1 + 13e-8, 5) AS lat1, round(lon1 + 13e-8, 5) AS lon1 FROM k",
     "flight_pause_stats": _CLIP + f""",
