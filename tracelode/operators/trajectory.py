@@ -14,6 +14,7 @@ from zoneinfo import ZoneInfo
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracelode.functions.arrow_groups import key_runs, sorted_groups, to_batch
 from tracelode.functions.geo import EARTH_RADIUS_M
@@ -219,9 +220,10 @@ def by_participant(trajectory: DataFrame, work: Callable[[str, np.ndarray], list
 
 
 def flights(fixes: DataFrame, interval: int = 10, r: float = 10.0, w: float = 20.0, h: float = 10.0) -> DataFrame:
-    """Rows of all chunks of ``participant, t, lat, lon`` fixes; single positions have status 3."""
+    """Rows of all chunks of ``participant, t, lat, lon`` fixes; single positions have status 3 and no end position."""
     rows = chunks(collapse(fixes, interval)).select("participant", "chunk", "bin", "t", "lat", "lon")
-    return sorted_groups(rows, ["participant", "chunk"], "bin").mapInArrow(_chunked(interval, r, w, h), TRAJECTORY_DDL)
+    found = sorted_groups(rows, ["participant", "chunk"], "bin").mapInArrow(_chunked(interval, r, w, h), TRAJECTORY_DDL)
+    return found.withColumns({c: F.nullif(F.col(c), F.lit(math.nan)) for c in ("lat1", "lon1")})
 
 
 def trajectories(fixes: DataFrame, interval: int = 10, r: float = 10.0, w: float = 20.0, h: float = 10.0) -> DataFrame:

@@ -8,47 +8,55 @@ from pyspark.sql import functions as F
 from tracelode.functions.instants import sensor_instant
 from tracelode.operators import gait, places, simulate, trajectory
 from tracelode.operators.imputation import impute
-from tracelode.queries.mobility import fixes
+from tracelode.queries import trajectory_sql
+from tracelode.queries.mobility import fixes, rounded
 from tracelode.sources.tables import load
 
 #: Averages of a minute suit the sampling of these pings; pauses within 50 m.
 _RULE = {"interval": 60, "r": 50.0, "w": 50.0, "h": 30.0}
+_SPOTS = ("lat0", "lon0", "lat1", "lon1")
 
 
 def _trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectory.trajectories(fixes(spark, sf_dir), **_RULE)
 
 
+def _summary(df: DataFrame) -> DataFrame:
+    """Rounded: to metres where many small distances are summed, as their last digits depend on the library."""
+    coarse = [c for c in df.columns if c.split("_daytime")[0].split("_nighttime")[0] in ("radius", "diameter", "max_dist_home")]
+    return rounded(rounded(df, 0, *coarse), 3, *[c for c in df.columns if c not in ("participant", "bin_start", *coarse)])
+
+
 def flights_from_knots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trajectory.flights(fixes(spark, sf_dir), **_RULE)
+    return rounded(trajectory.flights(fixes(spark, sf_dir), **_RULE), 6, *_SPOTS)
 
 
 def mobility_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trajectory(spark, sf_dir)
+    return rounded(_trajectory(spark, sf_dir), 6, *_SPOTS)
 
 
 def gps_daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trajectory.summary(_trajectory(spark, sf_dir))
+    return _summary(trajectory.summary(_trajectory(spark, sf_dir)))
 
 
 def gps_hourly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trajectory.summary(_trajectory(spark, sf_dir), 3600)
+    return _summary(trajectory.summary(_trajectory(spark, sf_dir), 3600))
 
 
 def gps_day_night_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trajectory.split_summary(_trajectory(spark, sf_dir))
+    return _summary(trajectory.split_summary(_trajectory(spark, sf_dir)))
 
 
 def routine_index_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trajectory.routine(_trajectory(spark, sf_dir))
+    return rounded(trajectory.routine(_trajectory(spark, sf_dir)), 6, "routine", "routine_stratified")
 
 
 def home_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trajectory.homes(_trajectory(spark, sf_dir))
+    return rounded(trajectory.homes(_trajectory(spark, sf_dir)), 6, "lat", "lon")
 
 
 def significant_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trajectory.places(_trajectory(spark, sf_dir))
+    return rounded(rounded(trajectory.places(_trajectory(spark, sf_dir)), 6, "lat", "lon"), 3, "seconds")
 
 
 def _seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +94,7 @@ def _interest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Pauses, and squares and points of interest put beside every visited place."""
     path = _trajectory(spark, sf_dir).where("status = 2")
     pauses = path.select("participant", F.xxhash64("participant", "t0").alias("pause_id"), F.col("lat0").alias("lat"), F.col("lon0").alias("lon"), (F.col("t1") - F.col("t0")).alias("seconds"), "t0")
-    seen = significant_places(spark, sf_dir).select(F.xxhash64("participant", "place").alias("place_id"), "lat", "lon")
+    seen = trajectory.places(_trajectory(spark, sf_dir)).select(F.xxhash64("participant", "place").alias("place_id"), "lat", "lon")
     kind = F.array(*map(F.lit, ("cafe", "park", "office", "shop")))[F.pmod("place_id", F.lit(4)).cast("int")]
     corner = lambda a, b: F.array(F.col("lat") + a * 0.0004, F.col("lon") + b * 0.0004)
     square = F.array(corner(0, 0), corner(0, 1), corner(1, 1), corner(1, 0))
@@ -118,6 +126,7 @@ def sim_gps(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (flights_from_knots, mobility_infer, gps_daily_summary, gps_hourly_summary, gps_day_night_summary, routine_index_daily, home_location, significant_places, walking_cadence, gait_minute, gait_hourly, gait_daily, bout_peak_to_peak, impute_trajectory, poi_time_share, poi_log, sim_logs, sim_gps)}
 
 ORACLE = {
+    **trajectory_sql.ORACLE,
     "bout_peak_to_peak": """
 WITH e AS (SELECT participant, coalesce("timestamp", epoch_us(try_cast(utc_time AS TIMESTAMP)) // 1000) // 1000 AS second, x, y, z FROM accelerometer)
 SELECT participant, second, round(max(x) - min(x) + 13e-9, 6) AS range_x, round(max(y) - min(y) + 13e-9, 6) AS range_y, round(max(z) - min(z) + 13e-9, 6) AS range_z FROM e
