@@ -1,15 +1,20 @@
-"""Evaluation passages in training text: SimHash windows, Hamming blocks, exact verification."""
+"""Evaluation passages in training text: SimHash windows, Hamming blocks, exact verification.
+
+Two sizes of windows. Of ``WINDOW_WORDS`` words, for passages held in part: what counts is that
+all words of a window are equal. Of the size of each item, for passages held whole but edited:
+fingerprints within ``NEAR_RADIUS`` bits are found through blocks, and what counts is the
+weighted similarity of the five-word shingles.
+"""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,17 +24,17 @@ WORDS = re.compile(r"[^\W_]+")
 WINDOW_WORDS = 12
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Fingerprints within this distance are candidates; one block more than that must agree.
+#: Fingerprints of short windows within this distance are candidates; one block more than that must agree.
 RADIUS = 2
-#: Bit ranges of the blocks of a 64-bit fingerprint.
+#: Bit ranges of the blocks of a short window's 64-bit fingerprint.
 BLOCKS = ((0, 22), (22, 43), (43, 64))
-#: Items held by a task at once; more are searched in further passes over the documents.
-ITEMS_PER_PASS = 5_000
+#: The same for item-sized windows: of 4 blocks of 16 bits one differs in a bit at most if no more than 7 bits differ.
+NEAR_RADIUS = 7
+NEAR_BLOCKS, NEAR_BITS = 4, 16
+#: Characters of passages that tasks hold at once (some 10 times as many bytes are broadcast); more are searched in further passes.
+CHARS_PER_PASS = 8 << 20
 CHUNK_WORDS = 60_000
 CACHE_WORDS = 300_000
-#: Pairs of windows weighed at once.
-PAIRS = 1_000_000
-SHINGLES = WINDOW_WORDS - SHINGLE_WORDS + 1
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -52,6 +57,15 @@ def fingerprints(votes: np.ndarray) -> np.ndarray:
     return np.packbits(twelve > 0, axis=1).view(np.uint64).ravel()
 
 
+def fingerprints_at(totals: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of the windows of ``size`` words that begin at ``at``, from running totals of votes."""
+    return np.packbits(totals[at + size] > totals[at], axis=1).view(np.uint64).ravel()
+
+
+def running_totals(votes: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes, axis=0, dtype=np.int32)])
+
+
 def shingles_of(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, letters) of the shingle that begins at each word."""
     n = max(0, len(hashes) - SHINGLE_WORDS + 1)
@@ -62,108 +76,54 @@ def shingles_of(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np
     return key, weight
 
 
-def window_sums(weights: np.ndarray) -> np.ndarray:
-    """Sum of the shingle weights of each window."""
-    total = np.concatenate([[0], np.cumsum(weights)])
-    return total[SHINGLES:] - total[:-SHINGLES]
-
-
-def shingle_similarity(a: list[str], b: list[str]) -> float:
-    """Weighted Jaccard similarity of the five-word shingles; a shingle weighs its letters."""
-
-    def shingles(x: list[str]) -> Counter:
-        return Counter(tuple(x[i : i + SHINGLE_WORDS]) for i in range(len(x) - SHINGLE_WORDS + 1))
-
-    one, two = shingles(a), shingles(b)
-    weigh = lambda s: sum(map(len, s))
-    both = sum(min(n, two[s]) * weigh(s) for s, n in one.items())
-    either = sum(max(one[s], two[s]) * weigh(s) for s in one.keys() | two.keys())
+def shingle_similarity(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two bags of shingles (hash, letters); a shingle weighs its letters."""
+    (a, at, n), (b, _, m) = np.unique(one[0], return_index=True, return_counts=True), np.unique(two[0], return_index=True, return_counts=True)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    both = int((np.minimum(n[i], m[j]) * one[1][at[i]]).sum())
+    either = int(one[1].sum() + two[1].sum()) - both
     return both / either if either else 0.0
 
 
-def _expand(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(range, member) for each member of the ranges."""
-    at = np.repeat(np.arange(len(start)), count)
-    return at, start[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-
-
-@dataclass
-class ItemIndex:
-    """Windows of a bounded number of items, found by any of their fingerprint's blocks."""
-
-    item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    fp: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    text: list[list[str]] = field(default_factory=list)
-    key: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    first: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-
-    @classmethod
-    def build(cls, items: list[tuple[int, str]]) -> ItemIndex:
-        out, fps, owners, shingles = cls(), [], [], []
-        for item_id, passage in items:
-            w = words(passage)
-            if len(w) < WINDOW_WORDS:
-                continue
-            hashes = np.array([xxhash.xxh64_intdigest(x) for x in w], np.uint64)
-            fps.append(fingerprints(_bits(hashes)))
-            key, weight = shingles_of(hashes, np.array([len(x) for x in w]))
-            q = np.arange(len(key))
-            low, high = np.maximum(0, q - SHINGLES + 1), np.minimum(q, len(w) - WINDOW_WORDS)
-            shingles.append((key, len(owners) + low, high - low + 1, window_sums(weight)))
-            owners += [item_id] * (len(w) - WINDOW_WORDS + 1)
-            out.text += [w[i : i + WINDOW_WORDS] for i in range(len(w) - WINDOW_WORDS + 1)]
-        if fps:
-            out.fp, out.item = np.concatenate(fps), np.array(owners, np.int64)
-            out.key, out.first, out.count, out.weight = (np.concatenate(x) for x in zip(*shingles))
-        return out
-
-    def prepare(self) -> None:
-        self.blocks = []
-        for low, high in BLOCKS:
-            value = (self.fp >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
-            order = np.argsort(value, kind="stable")
-            present = np.zeros(1 << (high - low), bool)
-            present[value] = True
-            self.blocks.append((np.uint64(low), np.uint64((1 << (high - low)) - 1), present, value[order], order))
-
-        order = np.argsort(self.key, kind="stable")
-        self.keys, self.windows_from, self.windows_of = self.key[order], self.first[order], self.count[order]
-        self.some = np.zeros(1 << 22, bool)
-        self.some[self.key >> np.uint64(42)] = True
-
-    def sharing(self, hashes: np.ndarray, lengths: np.ndarray, inside: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, item window) pairs that may reach SIMILARITY, each once and none missed.
-
-        A similarity of s needs common shingles of at least s / (1 + s) of both windows' weights and
-        s of the window's own; what the shingles in common weigh at most is summed per pair.
-        """
-        key, weight = shingles_of(hashes, lengths)
-        low, high = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-        maybe = np.flatnonzero(self.some[key >> np.uint64(42)])
-        low[maybe], high[maybe] = np.searchsorted(self.keys, key[maybe], "left"), np.searchsorted(self.keys, key[maybe], "right")
-        own = window_sums(weight)
-        kept = np.flatnonzero(inside & (window_sums(weight * (high > low)) >= SIMILARITY * own - 1e-6))
-        reach = np.concatenate([[0], np.cumsum(self.windows_of)])
-        cost = np.cumsum(window_sums(reach[high] - reach[low])[kept])
-        for part in np.split(kept, np.searchsorted(cost, np.arange(PAIRS, cost[-1], PAIRS)) if len(kept) else []):
-            w = np.repeat(part, SHINGLES)
-            p = (part[:, None] + np.arange(SHINGLES)).ravel()
-            at, hit = _expand(low[p], high[p] - low[p])
-            w, p = w[at], p[at]
-            at, o = _expand(self.windows_from[hit], self.windows_of[hit])
-            pairs, group = np.unique(w[at] * len(self.item) + o, return_inverse=True)
-            common = np.bincount(group, weight[p[at]], len(pairs))
-            left, right = np.divmod(pairs, max(1, len(self.item)))
-            good = common >= SIMILARITY / (1 + SIMILARITY) * (own[left] + self.weight[right]) - 1e-6
-            yield left[good], right[good]
-
-    def near(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hashed(ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and letters of each word."""
+    return np.array([xxhash.xxh64_intdigest(x) for x in ws], np.uint64), np.array([len(x) for x in ws], np.int64)
+
+
+class PassageIndex:
+    """A bounded number of items: word hashes end to end, and fingerprints with their blocks."""
+
+    def __init__(self, items: list[tuple[int, str]], near: bool):
+        held = [(item, w) for item, w in ((item, words(passage)) for item, passage in items) if len(w) >= WINDOW_WORDS]
+        parts = [hashed(w) for _, w in held]
+        self.near = near
+        self.item = np.array([item for item, _ in held], np.int64)
+        self.size = np.array([len(w) for _, w in held], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.hash = np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, np.uint64)
+        self.letters = np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.int64)
+        if near:
+            self.fp = np.array([np.packbits(_bits(h).sum(axis=0, dtype=np.int32) > 0).view(np.uint64)[0] for h, _ in parts], np.uint64)
+            self.sizes = {int(s): np.flatnonzero(self.size == s) for s in np.unique(self.size)}
+        else:
+            at = [s + np.arange(n - WINDOW_WORDS + 1) for s, n in zip(self.start, self.size, strict=True)]
+            self.at = np.concatenate(at) if at else np.zeros(0, np.int64)
+            self.owner = np.repeat(np.arange(len(held)), self.size - WINDOW_WORDS + 1)
+            self.fp = np.concatenate([fingerprints(_bits(h)) for h, _ in parts]) if parts else np.zeros(0, np.uint64)
+            self.blocks = [self._block(low, high) for low, high in BLOCKS]
+
+    def _block(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        value = (self.fp >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+        order = np.argsort(value, kind="stable")
+        return value[order], order
+
+    def equal_fingerprint_windows(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item window) pairs at most RADIUS bits apart, each once."""
         left, right = [], []
-        for low, mask, present, values, order in self.blocks:
-            block = (fps >> low) & mask
+        for (low, high), (values, order) in zip(BLOCKS, self.blocks, strict=True):
+            block = (fps >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+            present = np.zeros(1 << (high - low), bool)
+            present[values] = True
             hit = np.flatnonzero(present[block])
             if not len(hit):
                 continue
@@ -178,15 +138,82 @@ class ItemIndex:
         pairs = np.unique(np.stack([l[close], r[close]], axis=1), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
+    def near_windows(self, fps: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs at most NEAR_RADIUS bits apart, each once; ``of`` names the items of the windows' size."""
+        flips = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(NEAR_BITS, dtype=np.uint64)])
+        mask = np.uint64((1 << NEAR_BITS) - 1)
+        left, right = [], []
+        for b in range(NEAR_BLOCKS):
+            shift = np.uint64(b * NEAR_BITS)
+            values = (((self.fp[of] >> shift) & mask)[:, None] ^ flips).ravel()
+            who = np.repeat(of, len(flips))
+            order = np.argsort(values, kind="stable")
+            values, who = values[order], who[order]
+            present = np.zeros(1 << NEAR_BITS, bool)
+            present[values] = True
+            block = (fps >> shift) & mask
+            hit = np.flatnonzero(present[block])
+            a, z = np.searchsorted(values, block[hit], "left"), np.searchsorted(values, block[hit], "right")
+            count = z - a
+            left.append(np.repeat(hit, count))
+            right.append(who[np.repeat(a, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)])
+        l, r = np.concatenate(left), np.concatenate(right)
+        close = np.bitwise_count(fps[l] ^ self.fp[r]) <= NEAR_RADIUS
+        pairs = np.unique(np.stack([l[close], r[close]], axis=1), axis=0)
+        return pairs[:, 0], pairs[:, 1]
 
-def _search(index: ItemIndex, near: bool):
+    def held_whole_words(self, hashes: np.ndarray, w: np.ndarray, o: np.ndarray) -> np.ndarray:
+        """Whether all words of the windows (w, o) are equal."""
+        same = np.ones(len(w), bool)
+        for k in range(WINDOW_WORDS):
+            same &= hashes[w + k] == self.hash[self.at[o] + k]
+        return same
+
+    def shingles(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        span = slice(int(self.start[i]), int(self.start[i] + self.size[i]))
+        return shingles_of(self.hash[span], self.letters[span])
+
+
+def _in_part(index: PassageIndex, votes: np.ndarray, hashes: np.ndarray, owner: np.ndarray) -> dict[tuple[int, int], float]:
+    """(document, item) -> windows whose words are equal."""
+    fps = fingerprints(votes)
+    w, o = index.equal_fingerprint_windows(fps)
+    inside = owner[w] == owner[w + WINDOW_WORDS - 1]
+    w, o = w[inside], o[inside]
+    same = index.held_whole_words(hashes, w, o)
+    found: dict[tuple[int, int], float] = {}
+    for pair in zip(owner[w[same]].tolist(), index.item[index.owner[o[same]]].tolist(), strict=True):
+        found[pair] = found.get(pair, 0) + 1
+    return found
+
+
+def _whole(index: PassageIndex, votes: np.ndarray, hashes: np.ndarray, letters: np.ndarray, owner: np.ndarray) -> dict[tuple[int, int], float]:
+    """(document, item) -> greatest similarity of an item-sized window."""
+    totals = running_totals(votes)
+    found: dict[tuple[int, int], float] = {}
+    for size, of in index.sizes.items():
+        if size > len(owner):
+            continue
+        at = np.flatnonzero(owner[: len(owner) - size + 1] == owner[size - 1 :])
+        if not len(at):
+            continue
+        w, items = index.near_windows(fingerprints_at(totals, at, size), of)
+        for a, i in zip(at[w].tolist(), items.tolist(), strict=True):
+            similar = shingle_similarity(shingles_of(hashes[a : a + size], letters[a : a + size]), index.shingles(i))
+            if similar >= SIMILARITY:
+                key = (int(owner[a]), int(index.item[i]))
+                found[key] = max(found.get(key, 0.0), similar)
+    return found
+
+
+def _search(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index.prepare()
+        index: PassageIndex = shared.value
         places: dict[str, int] = {}
-        votes, hashes, lengths = np.zeros((1024, 64), np.int8), np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
+        votes, hashes, letters = np.zeros((1024, 64), np.int8), np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
 
         def scan(docs: list[tuple[int, list[str]]]) -> list[tuple]:
-            nonlocal votes, hashes, lengths
+            nonlocal votes, hashes, letters
             flat = [w for _, ws in docs for w in ws]
             if len(flat) < WINDOW_WORDS:
                 return []
@@ -196,35 +223,20 @@ def _search(index: ItemIndex, near: bool):
             if new:
                 base = len(places)
                 while base + len(new) > len(votes):
-                    votes, hashes, lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (votes, hashes, lengths))
-                hashes[base : base + len(new)] = [xxhash.xxh64_intdigest(w) for w in new]
-                lengths[base : base + len(new)] = [len(w) for w in new]
-                votes[base : base + len(new)] = _bits(hashes[base : base + len(new)])
+                    votes, hashes, letters = (np.concatenate([x, np.zeros_like(x)]) for x in (votes, hashes, letters))
+                span = slice(base, base + len(new))
+                hashes[span], letters[span] = hashed(new)
+                votes[span] = _bits(hashes[span])
                 places.update(zip(new, range(base, base + len(new))))
             place = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
-            fps = fingerprints(votes[place]) if not near else np.zeros(len(flat) - WINDOW_WORDS + 1, np.uint64)
             owner = np.repeat(np.arange(len(docs)), [len(ws) for _, ws in docs])
-            inside = owner[: len(fps)] == owner[WINDOW_WORDS - 1 :]
-            parts = index.sharing(hashes[place], lengths[place], inside) if near else [index.near(fps)]
-            found: dict[tuple[int, int], list] = {}
-            for w, o in ((w, o) for ws, others in parts for w, o in zip(ws.tolist(), others.tolist())):
-                if not inside[w]:
-                    continue
-                mine, theirs = flat[w : w + WINDOW_WORDS], index.text[o]
-                exact = mine == theirs
-                similar = 1.0 if exact else shingle_similarity(mine, theirs)
-                if similar >= SIMILARITY:
-                    key = (int(owner[w]), int(index.item[o]))
-                    row = found.setdefault(key, [0, 0, 0.0])
-                    row[0] += 1
-                    row[1] += exact
-                    row[2] = max(row[2], similar)
-            return [(docs[d][0], item, *row) for (d, item), row in found.items()]
+            found = _whole(index, votes[place], hashes[place], letters[place], owner) if index.near else _in_part(index, votes[place], hashes[place], owner)
+            return [(docs[d][0], item, float(value)) for (d, item), value in found.items()]
 
         def pack(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            columns = zip(*rows) if rows else [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "n_windows", "n_exact", "similarity"])
+            kinds = [pa.int64(), pa.int64(), pa.float64()]
+            columns = zip(*rows) if rows else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "value"])
 
         for batch in batches:
             rows, docs, size = [], [], 0
@@ -243,26 +255,40 @@ def _search(index: ItemIndex, near: bool):
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, near: bool = True, least_tasks: int | None = None) -> DataFrame:
-    """``doc_id, item_id, n_windows, n_exact, similarity`` of documents that hold item passages.
-
-    Every window of ``WINDOW_WORDS`` words of every document is compared with every such window
-    of every item; pairs count if the weighted similarity of their five-word shingles is
-    ``SIMILARITY`` or more. Such pairs share shingles, by which they are looked up, so none is
-    missed. Without ``near``, only fingerprints within ``RADIUS`` bits are candidates: all equal
-    windows (0 bits apart), but few of the others. ``n_exact`` counts the windows whose words are equal. Null, empty
-    and short texts and passages match nothing; repeated documents with one id count together;
-    empty tables give an empty result; other columns are ignored. Items are held by tasks in
-    blocks of ``ITEMS_PER_PASS``, each searched in a pass of its own over the documents.
-    """
+def _matches(documents: DataFrame, items: DataFrame, near: bool, least_tasks: int | None) -> DataFrame:
     docs = widened(documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), least_tasks)
     held = items.select("item_id", "passage").where(F.col("item_id").isNotNull() & F.col("passage").isNotNull())
-    passes = max(1, -(-held.count() // ITEMS_PER_PASS))
+    passes = max(1, -(-(held.agg(F.sum(F.char_length("passage"))).first()[0] or 0) // CHARS_PER_PASS))
     found = None
     for k in range(passes):
-        block = held.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()  # a bounded block
-        part = docs.mapInArrow(_search(ItemIndex.build([tuple(r) for r in block]), near), "doc_id long, item_id long, n_windows long, n_exact long, similarity double")
+        block = held.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()  # CHARS_PER_PASS bounds it
+        shared = documents.sparkSession.sparkContext.broadcast(PassageIndex([tuple(r) for r in block], near))
+        part = docs.mapInArrow(_search(shared), "doc_id long, item_id long, value double")
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("doc_id", "item_id").agg(
-        F.sum("n_windows").alias("n_windows"), F.sum("n_exact").alias("n_exact"), F.max("similarity").alias("similarity")
-    )
+    return found
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, least_tasks: int | None = None) -> DataFrame:
+    """``doc_id, item_id, n_windows`` of documents that hold ``WINDOW_WORDS`` consecutive words of an item's passage.
+
+    Every window of every document is looked up by its SimHash: windows of items within
+    ``RADIUS`` bits share a block, so equal ones are always found; the words decide.
+    ``n_windows`` counts the pairs of equal windows. Null, empty and short texts and passages
+    match nothing; repeated documents with one id count together; empty tables give an empty
+    result; other columns are ignored. One scan without a shuffle of texts; items are broadcast
+    in blocks of about ``CHARS_PER_PASS``, each searched in a pass of its own.
+    """
+    found = _matches(documents, items, False, least_tasks)
+    return found.groupBy("doc_id", "item_id").agg(F.sum("value").cast("long").alias("n_windows"))
+
+
+def near_copies(documents: DataFrame, items: DataFrame, least_tasks: int | None = None) -> DataFrame:
+    """``doc_id, item_id, similarity`` of documents that hold an item's whole passage, edited or not.
+
+    Every window of as many words as the item has is a candidate if its SimHash lies within
+    ``NEAR_RADIUS`` bits of the item's, all of which the blocks find; it counts if the weighted
+    similarity of the five-word shingles is ``SIMILARITY`` or more. The greatest similarity of a
+    document is given. Nulls, repeats, empty tables and blocks of items as in ``leaked_items``.
+    """
+    found = _matches(documents, items, True, least_tasks)
+    return found.groupBy("doc_id", "item_id").agg(F.max("value").alias("similarity"))
