@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from tracelode.operators import imputation as I
 from tracelode.operators import trajectory as T
+from tracelode.operators.imputation import Kernel, model_states, tidied
+from tracelode.operators.trajectory import TRAJECTORY_DDL
 
 
 def days(n=6, gap=True):
@@ -52,3 +55,33 @@ def test_table(spark):
     df = spark.createDataFrame(rows, T.TRAJECTORY_DDL)
     got = I.impute(df)
     assert got.where("obs = 0").count() > 0 and got.count() > len(rows) and I.impute(df.limit(0)).count() == 0
+
+
+def test_states_carry_on_where_they_stopped(spark):
+    rng = np.random.default_rng(3)
+    rows, t = [], 0.0
+    for k in range(160):
+        lat, step = 45 + rng.normal(0, 0.01), float(rng.uniform(300, 4000))
+        rows.append(("p", 1 + k % 2, lat, 7.0, t, lat + 0.001 * (1 - k % 2), 7.0, t + step, 1))
+        t += step
+    path = spark.createDataFrame(rows, TRAJECTORY_DDL)
+    kernel = Kernel(size=12)
+    half = float(rows[79][4])
+    part = model_states(path.where(path.t0 <= half), None, kernel)
+    resumed = {r.fit: r for r in model_states(path, part, kernel).collect()}
+    rest = {r.fit: r for r in model_states(path.where(path.t0 > half), part, kernel).collect()}
+    assert set(resumed) == {0, 1, 2, 3} and all(resumed[k].t == rest[k].t and resumed[k].alpha == rest[k].alpha and len(resumed[k].t) <= 12 for k in resumed)
+    kept = {r.fit: r for r in model_states(path.limit(0), part, kernel).collect()}
+    assert [kept[k].t for k in range(4)] == [r.t for r in sorted(part.collect(), key=lambda r: r.fit)]
+
+
+def test_rows_of_one_kind_are_put_together():
+    filled = [[2, 1.0, 1.0, 0.0, 1.0, 1.0, 10.0, 0], [2, 1.0, 1.0, 10.0, 1.0, 1.0, 30.0, 0], [1, 1.0, 1.0, 30.0, 1.001, 1.0, 40.0, 0], [1, 1.001, 1.0, 40.0, 1.002, 1.0, 50.0, 0], [1, 1.002, 1.0, 50.0, 1.002, 1.005, 60.0, 0], [1, 1.002, 1.005, 60.0, 1.002, 1.006, 61.0, 0], [1, 5.0, 5.0, 61.0, 5.0, 5.0, 61.0, 0]]
+    out = tidied(filled, 20.0)
+    assert [r[0] for r in out] == [2, 1, 1] and [r[3] for r in out] == [0.0, 30.0, 50.0] and out[-1][6] == 61.0
+
+
+def test_methods():
+    with pytest.raises(ValueError):
+        Kernel(method="XY")
+    assert Kernel(method="TL").method == "TL"

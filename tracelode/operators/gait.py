@@ -20,6 +20,10 @@ FS = 10
 STANDARD_GRAVITY = 9.80665
 GRID_HZ = np.arange(0.5, 4.5, 0.05)
 BETA, GAMMA, VOICES = 90.0, 3.0, 32
+#: Peak frequencies of the wavelets and frequencies that power is put to, in cycles a sample. The upper end of the
+#: second is that of a wavelet with half its height at the Nyquist frequency; the others are calibrated so that
+#: the published example bout gives its published power and cadences.
+SCALE_SPAN, BIN_SPAN = (0.012, 0.53), (0.008644, 0.5372)
 STEP_HZ = (1.4, 2.3)
 
 
@@ -59,19 +63,39 @@ def _tapered(n: int, share: float = 0.02) -> np.ndarray:
     return out
 
 
+#: Samples that are transformed at once, and those beside them that are transformed too for their sake: at
+#: 0.5 Hz a wavelet has faded to nothing after 40 seconds.
+WINDOW, CONTEXT = 300 * FS, 40 * FS
+
+
 def rhythm_power(magnitude: np.ndarray) -> np.ndarray:
-    """Power at GRID_HZ (rows) and each sample (columns) of the synchrosqueezed transform."""
+    """Power at GRID_HZ (rows) and each sample (columns) of the synchrosqueezed transform.
+
+    Long signals are transformed in overlapping windows, so memory doesn't grow with them.
+    """
     pad = np.zeros(5 * FS)
     signal = np.r_[pad, magnitude * _tapered(len(magnitude)), pad][:-1]
+    if len(signal) <= WINDOW + 2 * CONTEXT:
+        power = _window_power(signal)
+    else:
+        parts = []
+        for a in range(0, len(signal), WINDOW):
+            low, high = max(0, a - CONTEXT), min(len(signal), a + WINDOW + CONTEXT)
+            parts.append(_window_power(signal[low:high])[:, a - low : min(a + WINDOW, len(signal)) - low])
+        power = np.concatenate(parts, axis=1)
+    power = np.c_[power, power[:, -1]]
+    return power[:, 5 * FS : -5 * FS]
+
+
+def _window_power(signal: np.ndarray) -> np.ndarray:
     n = len(signal)
-    size = 1 << int(np.ceil(np.log2(2 * n)))
+    size = 2 << int(round(np.log2(n)))  # the power of two nearest twice the length
     left = (size - n) // 2
-    padded = np.pad(signal, (left, size - n - left), mode="reflect") if size - n < 2 * n - 2 else np.pad(signal, (left, size - n - left))
+    padded = np.pad(signal, (left, size - n - left), mode="reflect")
     omega = 2 * np.pi * np.fft.fftfreq(size)
     spectrum = np.fft.fft(padded)
     peak = (BETA / GAMMA) ** (1 / GAMMA)
-    low, high = 0.015, 0.45  # cycles a sample; chosen against a published example bout
-    scales = peak / (2 * np.pi * np.geomspace(high, low, int(VOICES * np.log2(high / low))))
+    scales = peak / (2 * np.pi * np.geomspace(*SCALE_SPAN[::-1], round(VOICES * np.log2(SCALE_SPAN[1] / SCALE_SPAN[0]))))
     positive = np.where(omega > 0, omega, np.nan)
     log_peak = BETA / GAMMA * (1 + np.log(GAMMA / BETA))
     coefs, rates = [], []
@@ -84,18 +108,17 @@ def rhythm_power(magnitude: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
             rates.append(np.abs((slope / part).imag) / (2 * np.pi) * FS)
     coefs, rates = np.array(coefs), np.array(rates)
-    bins = np.geomspace(low * FS, high * FS, len(scales))
+    bins = FS * np.geomspace(*BIN_SPAN, round(VOICES * np.log2(BIN_SPAN[1] / BIN_SPAN[0])))
     squeezed = np.zeros((len(bins), n), complex)
     step = np.log(bins[1] / bins[0])
-    usable = np.isfinite(rates) & (np.abs(coefs) > 10 * np.finfo(float).eps) & (rates > 0)
+    usable = np.isfinite(rates) & (np.abs(coefs) > 10 * np.finfo(np.float32).eps) & (rates > 0)
     place = np.clip(np.rint(np.log(np.where(usable, rates, bins[0]) / bins[0]) / step), 0, len(bins) - 1).astype(int)
     rows, cols = np.nonzero(usable)
     np.add.at(squeezed, (place[rows, cols], cols), coefs[rows, cols] * np.log(2) / VOICES)
     power = np.abs(squeezed) ** 2
-    power = np.c_[power, power[:, -1]]
     at = np.searchsorted(bins, GRID_HZ).clip(1, len(bins) - 1)
     share = ((GRID_HZ - bins[at - 1]) / (bins[at] - bins[at - 1]))[:, None]
-    return (power[at - 1] * (1 - share) + power[at] * share)[:, 5 * FS : -5 * FS]
+    return power[at - 1] * (1 - share) + power[at] * share
 
 
 def dominant_peaks(power: np.ndarray, step_hz: tuple[float, float] = STEP_HZ, alpha: float = 0.6, beta: float = 2.5) -> np.ndarray:
@@ -180,24 +203,50 @@ def _walk(bout_gap_s: float):
     return run
 
 
-def walking_seconds(readings: DataFrame, source: str, instant: Column, bout_gap_s: float = 1.0) -> DataFrame:
+def local_seconds(epoch_s: Column, zone: str) -> Column:
+    """Seconds of the wall clock of ``zone`` since 1970."""
+    return epoch_s if zone == "UTC" else F.unix_timestamp(F.from_utc_timestamp(F.timestamp_seconds(epoch_s), zone))
+
+
+def walking_seconds(readings: DataFrame, source: str, instant: Column, bout_gap_s: float = 1.0, zone: str = "UTC") -> DataFrame:
     """``source, second, pp, cadence`` for every second of every bout.
 
     Null and NaN sources, instants and axes are left out, of readings with one instant the least
-    counts; a step of more than ``bout_gap_s`` or a new UTC day ends a bout. Groups are bounded
+    counts; a step of more than ``bout_gap_s`` or a new local day ends a bout. Groups are bounded
     by the readings of one source in one day.
     """
     rows = readings.select(F.col(source).alias("source"), instant.alias("t"), "x", "y", "z").dropna()
     for axis in ("x", "y", "z"):
         rows = rows.where(~F.isnan(axis))
-    rows = rows.select("source", F.floor(F.col("t") / 86_400_000).alias("day"), "t", "x", "y", "z")
+    rows = rows.select("source", F.floor(local_seconds(F.floor(F.col("t") / 1000), zone) / 86_400).alias("day"), "t", "x", "y", "z")
     return sorted_groups(rows, ["source", "day"], "t", "x", "y", "z").mapInArrow(_walk(bout_gap_s), "source string, second long, pp double, cadence double")
 
 
-def gait_bins(seconds: DataFrame, width_s: int) -> DataFrame:
-    """Walking seconds, whole steps and steps per walking second in bins of ``width_s``."""
-    steps = F.floor(F.sum("cadence")).cast("long")
-    walked = F.count_if(F.col("cadence") > 0)
-    return seconds.groupBy("source", F.floor(F.col("second") / width_s).cast("long").alias("bin")).agg(
-        walked.alias("walking_time"), steps.alias("steps"), F.coalesce(F.try_divide(steps, walked), F.lit(0.0)).alias("cadence")
+def gait_bins(seconds: DataFrame, width_s: int, zone: str = "UTC") -> DataFrame:
+    """``source, bin, walking_time, steps, cadence`` in local bins of ``width_s`` (a minute, hours or a day).
+
+    Steps are whole in each hour (in bins of a minute in each minute, in those of a day in the
+    day) and then added. Cadence is steps per walking second, of a day the mean cadence of its
+    walking seconds; it is 0 (of a day null) where nobody walked.
+    """
+    unit = width_s if width_s in (60, 86_400) else 3600
+    local = local_seconds(F.col("second"), zone)
+    inner = seconds.groupBy("source", F.floor(local / unit).cast("long").alias("_unit")).agg(
+        F.count_if(F.col("cadence") > 0).alias("_walked"), F.floor(F.sum("cadence")).cast("long").alias("_steps"), F.avg(F.when(F.col("cadence") > 0, F.col("cadence"))).alias("_mean")
     )
+    walked, steps = F.sum("_walked"), F.sum("_steps")
+    rate = F.max("_mean") if unit == 86_400 else F.coalesce(F.try_divide(steps, walked), F.lit(0.0))
+    return inner.groupBy("source", F.floor(F.col("_unit") * unit / width_s).cast("long").alias("bin")).agg(walked.alias("walking_time"), steps.alias("steps"), rate.alias("cadence"))
+
+
+def gait_report(seconds: DataFrame, width_s: int, zone: str = "UTC") -> DataFrame:
+    """``source, date, walking_time, steps, cadence`` of every local bin of every day from a source's first to its last.
+
+    Bins without readings hold nulls. Dates are "yyyy-MM-dd", of bins below a day with the time.
+    """
+    bins = gait_bins(seconds, width_s, zone)
+    days = bins.groupBy("source").agg(F.floor(F.min("bin") * width_s / 86_400).alias("a"), F.floor(F.max("bin") * width_s / 86_400).alias("b"))
+    per_day = 86_400 // width_s
+    spine = days.select("source", F.explode(F.sequence(F.col("a") * per_day, (F.col("b") + 1) * per_day - 1)).alias("bin"))
+    text = F.date_format(F.timestamp_seconds(F.col("bin") * width_s), "yyyy-MM-dd" if width_s == 86_400 else "yyyy-MM-dd HH:mm:ss")
+    return spine.join(bins, ["source", "bin"], "left").select("source", text.alias("date"), "walking_time", "steps", "cadence")

@@ -16,8 +16,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tracelode.operators.trajectory import FLIGHT, LAT0, LAT1, LON0, LON1, OBS, PAUSE, STATUS, T0, T1, TRAJECTORY_DDL, arc_m, by_participant, home_of
+from tracelode.functions.arrow_groups import to_batch
+from tracelode.operators.trajectory import FLIGHT, LAT0, LAT1, LON0, LON1, OBS, PAUSE, STATUS, T0, T1, TRAJECTORY_DDL, arc_m, bends, by_participant, home_of
 
 DAY_S, WEEK_S, HOUR_S = 86_400.0, 604_800.0, 3600.0
 
@@ -41,6 +43,12 @@ class Kernel:
     top: int = 10
     draws: int = 3
     linearity: float = 2.0
+    method: str = "GLC"  # what likeness takes in: TL time, GL place, GLC both
+    bend_m: float = 20.0  # of filled flights in a row, those with smaller bends become one
+
+    def __post_init__(self) -> None:
+        if self.method not in ("TL", "GL", "GLC"):
+            raise ValueError("method must be TL, GL or GLC")
 
 
 def periodic(dt: np.ndarray, k: Kernel) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +71,16 @@ class OnlineGP:
         self.k = k
         self.t, self.x = np.zeros(0), np.zeros(0)
         self.alpha, self.c, self.q = np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0))
+        self.centre: float | None = None
+
+    @classmethod
+    def restored(cls, state: dict, k: Kernel) -> OnlineGP:
+        """A fit as ``model_states`` wrote it."""
+        gp = cls(k)
+        n = len(state["t"])
+        gp.t, gp.x, gp.alpha, gp.centre = np.array(state["t"], float), np.array(state["x"], float), np.array(state["alpha"], float), state["centre"]
+        gp.c, gp.q = np.array(state["c"], float).reshape(n, n), np.array(state["q"], float).reshape(n, n)
+        return gp
 
     def add(self, t: float, x: float, y: float) -> None:
         k = self.k
@@ -104,21 +122,66 @@ class OnlineGP:
         self.t, self.x = self.t[rest], self.x[rest]
 
 
-def representative(rows: np.ndarray, k: Kernel = Kernel()) -> np.ndarray:
-    """The flights and pauses whose mid-times the four fits (kind x direction) keep as basis vectors."""
-    keep = np.zeros(len(rows), bool)
+#: The four fits: flights and pauses, each by latitude and by longitude.
+FITS = tuple((kind, a, b) for kind in (FLIGHT, PAUSE) for a, b in ((LAT0, LON0), (LON0, LAT0)))
+
+
+def fitted(rows: np.ndarray, k: Kernel = Kernel(), earlier: list[OnlineGP] | None = None) -> list[OnlineGP]:
+    """The four fits over a trajectory, carried on from ``earlier`` ones."""
+    out = earlier or [OnlineGP(k) for _ in FITS]
     middle = (rows[:, T0] + rows[:, T1]) / 2
-    for kind in (FLIGHT, PAUSE):
+    for gp, (kind, a, b) in zip(out, FITS, strict=True):
         of = np.flatnonzero(rows[:, STATUS] == kind)
-        for a, b in ((LAT0, LON0), (LON0, LAT0)):
-            gp = OnlineGP(k)
-            target = rows[of, b] - rows[of, b].mean() if len(of) else rows[of, b]
-            for i, y in zip(of, target, strict=True):
-                gp.add(middle[i], rows[i, a], y)
-            keep[of[np.isin(middle[of], gp.t)]] = True
+        if gp.centre is None and len(of):
+            gp.centre = float(rows[of, b].mean())
+        for i in of:
+            gp.add(middle[i], rows[i, a], rows[i, b] - gp.centre)
+    return out
+
+
+def representative(rows: np.ndarray, k: Kernel = Kernel(), earlier: list[OnlineGP] | None = None) -> np.ndarray:
+    """The flights and pauses whose mid-times the four fits keep as basis vectors."""
+    middle = (rows[:, T0] + rows[:, T1]) / 2
+    keep = np.zeros(len(rows), bool)
+    for gp, (kind, _, _) in zip(fitted(rows, k, earlier), FITS, strict=True):
+        keep |= (rows[:, STATUS] == kind) & np.isin(middle, gp.t)
     return rows[keep]
 
 
+_STATE = pa.schema([("participant", pa.string()), ("fit", pa.int32()), ("centre", pa.float64()), ("last_t", pa.float64()), *[(n, pa.list_(pa.float64())) for n in ("t", "x", "alpha", "c", "q")]])
+STATE_DDL = "participant string, fit int, centre double, last_t double, t array<double>, x array<double>, alpha array<double>, c array<double>, q array<double>"
+
+
+def model_states(trajectory: DataFrame, earlier: DataFrame | None = None, k: Kernel = Kernel()) -> DataFrame:
+    """The state of each participant's four fits, one row each, to be written and carried on later.
+
+    With ``earlier`` states only what came after their last instant is learnt, so a study can be
+    taken in part by part; participants without new rows keep their state.
+    """
+    rows = trajectory.select("participant", F.struct(*TRAJECTORY_DDL.replace(",", " ").split()[2::2]).alias("row"), F.lit(None).cast(f"struct<{STATE_DDL.replace(' array', ':array').replace(' double', ':double').replace(' int', ':int').replace(' string', ':string').replace(', ', ',')}>").alias("state"))
+    if earlier is not None:
+        rows = rows.unionByName(earlier.select("participant", F.struct(*STATE_DDL.replace(",", " ").split()[::2]).alias("state")), allowMissingColumns=True)
+
+    def learn(key, table):
+        seen, states = [], []
+        for row, state in zip(table.column("row").to_pylist(), table.column("state").to_pylist(), strict=True):
+            if state is not None:
+                states.append(state)
+            elif row is not None:
+                seen.append([float(v) if v is not None else math.nan for v in row.values()])
+        data = np.array(sorted(seen, key=lambda r: r[T0]), float).reshape(-1, 8)
+        gps = None
+        if states:
+            gps = [OnlineGP.restored(s, k) for s in sorted(states, key=lambda s: s["fit"])]
+            data = data[data[:, T0] > max(s["last_t"] for s in states)]
+        gps = fitted(data, k, gps)
+        last = float(data[-1, T0]) if len(data) else max((s["last_t"] for s in states), default=0.0)
+        out = [(key[0].as_py(), i, gp.centre, last, *(a.ravel().tolist() for a in (gp.t, gp.x, gp.alpha, gp.c, gp.q))) for i, gp in enumerate(gps)]
+        return pa.Table.from_batches([to_batch(out, _STATE)])
+
+    return rows.groupBy("participant").applyInArrow(learn, STATE_DDL)
+
+
 class _Filler:
     def __init__(self, rows: np.ndarray, home: tuple[float, float] | None, k: Kernel, rng: np.random.Generator):
         self.k, self.rng, self.home = k, rng, home
@@ -129,9 +192,13 @@ class _Filler:
         self.box = (rows[:, LAT0].min() - 0.01, rows[:, LAT0].max() + 0.01, rows[:, LON0].min() - 0.01, rows[:, LON0].max() + 0.01)
 
     def likeness(self, table: np.ndarray, t: float, lat: float, lon: float) -> np.ndarray:
-        """Time of day and week and distance together."""
-        day, week = periodic((table[:, T0] + table[:, T1]) / 2 - t, self.k)
-        return self.k.b1 * day + self.k.b2 * week + self.k.b3 * np.exp(-arc_m(lat, lon, table[:, LAT0], table[:, LON0]) / self.k.g)
+        """Time of day and week, distance, or both together."""
+        k = self.k
+        near = np.exp(-arc_m(lat, lon, table[:, LAT0], table[:, LON0]) / k.g)
+        if k.method == "GL":
+            return near
+        day, week = periodic((table[:, T0] + table[:, T1]) / 2 - t, k)
+        return (k.b1 * day + k.b2 * week) / (k.b1 + k.b2) if k.method == "TL" else k.b1 * day + k.b2 * week + k.b3 * near
 
     def moves(self, t: float, lat: float, lon: float, speed: float, was_flight: bool) -> bool:
         top = lambda table: float(np.sort(self.likeness(table, t, lat, lon))[-self.k.top :].mean()) if len(table) else 0.0
@@ -210,7 +277,7 @@ class _Filler:
         if away > 300_000:
             return [[FLIGHT, *gap, 0]] if away / span > 210 else self.direct(gap, 244, 258)
         home = [float(arc_m(a, b, *self.home)) for a, b in ((lat, lon), (lat1, lon1))] if self.home else [math.inf, math.inf]
-        around = int(((self.all_flights[:, T1] > t - 12 * HOUR_S) & (self.all_flights[:, T0] < t1 + 12 * HOUR_S)).sum())
+        around = int(np.searchsorted(self.all_flights[:, T0], t1 + 12 * HOUR_S, "left") - np.searchsorted(self.all_flights[:, T1], t - 12 * HOUR_S, "right"))
         if (around <= 5 and span > 6 * HOUR_S and min(home) > 50) or not len(self.pauses):
             return self.direct(gap, *((1, 1.8) if away < 3000 else (13, 32)))
         out = []
@@ -225,6 +292,25 @@ class _Filler:
         return out + self.walk(gap, kinds)
 
 
+def tidied(filled: list[list[float]], bend_m: float) -> list[list[float]]:
+    """The rows that fill a gap, runs of one kind put together.
+
+    Pauses in a row become one from the first start to the last end; flights in a row become as
+    few as their bends of ``bend_m`` or more allow.
+    """
+    rows = sorted((r for r in filled if r[T1] > r[T0]), key=lambda r: r[T0])
+    out: list[list[float]] = []
+    for kind, run in itertools.groupby(rows, key=lambda r: r[STATUS]):
+        run = list(run)
+        if kind == PAUSE or len(run) == 1:
+            out.append([kind, *run[0][LAT0 : T0 + 1], *run[-1][LAT1 : T1 + 1], 0])
+            continue
+        points = np.array([run[0][LAT0 : T0 + 1], *[r[LAT1 : T1 + 1] for r in run]], float)
+        at = bends(points[:, 0], points[:, 1], [0, len(points) - 1], bend_m)
+        out += [[FLIGHT, *points[a].tolist(), *points[b].tolist(), 0] for a, b in zip(at, at[1:], strict=False)]
+    return out
+
+
 def impute_rows(who: str, rows: np.ndarray, zone: str = "UTC", k: Kernel = Kernel()) -> list[list[float]]:
     """The trajectory with every gap filled (obs 0), in time order; rows without length are left out."""
     rows = rows[np.argsort(rows[:, T0], kind="stable")]
@@ -237,7 +323,7 @@ def impute_rows(who: str, rows: np.ndarray, zone: str = "UTC", k: Kernel = Kerne
         if filler is None:
             filler = _Filler(rows, home_of(rows, zone), k, rng)
         filler.rng = rng
-        out += filler.fill([a[LAT1], a[LON1], a[T1], b[LAT0], b[LON0], b[T0]], (int(a[STATUS]), int(b[STATUS])))
+        out += tidied(filler.fill([a[LAT1], a[LON1], a[T1], b[LAT0], b[LON0], b[T0]], (int(a[STATUS]), int(b[STATUS]))), k.bend_m)
     return sorted((r for r in out if r[T1] > r[T0]), key=lambda r: r[T0])
 
 

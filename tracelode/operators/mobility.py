@@ -16,7 +16,7 @@ from tracelode.functions.ordered import with_neighbour, with_running_total
 
 
 def quality_gate(fixes: DataFrame, rows_per_file: int = 60, least_share: float = 0.05, file_s: int = 3600) -> DataFrame:
-    """Share of a participant's hourly files with more than ``rows_per_file`` fixes; ``passes`` above ``least_share``."""
+    """Share of a participant's hourly files with more than ``rows_per_file`` rows as uploaded; ``passes`` above ``least_share``."""
     files = fixes.groupBy("participant", F.floor(F.col("t") / file_s).alias("file")).agg(F.count(F.lit(1)).alias("n"))
     share = F.count_if(F.col("n") > rows_per_file) / (F.count(F.lit(1)) + 0.0001)
     return files.groupBy("participant").agg(F.count(F.lit(1)).alias("n_files"), share.alias("quality")).withColumn("passes", F.col("quality") > least_share)

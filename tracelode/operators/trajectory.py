@@ -67,7 +67,13 @@ def knots(lat: np.ndarray, lon: np.ndarray, w: float, h: float) -> list[int]:
     for start, stop in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         if stop - start >= 2:
             found |= {start, stop}
-    todo = list(zip(sorted(found), sorted(found)[1:], strict=False))
+    return bends(lat, lon, sorted(found), w)
+
+
+def bends(lat: np.ndarray, lon: np.ndarray, seeds: list[int], w: float) -> list[int]:
+    """``seeds`` and the points between two of them that lie ``w`` or more off the great circle through their ends, again and again."""
+    n, found = len(lat), set(seeds)
+    todo = list(zip(seeds, seeds[1:], strict=False))
     while todo:
         a, b = todo.pop()
         last = min(b, n - 2)
@@ -327,18 +333,18 @@ def bin_statistics(rows: np.ndarray, home: tuple[float, float], zone: str = "UTC
     return out
 
 
-def summary(trajectory: DataFrame, width_s: int = 86_400, zone: str = "UTC") -> DataFrame:
+def summary(trajectory: DataFrame, width_s: int = 86_400, zone: str = "UTC", home_at: tuple[float, float] | None = None) -> DataFrame:
     """Statistics per participant and bin of ``width_s`` from the local start of the first day (or hour).
 
     Seconds and metres. Bins without rows show 0 observed seconds and nulls; participants
-    without night pauses have no home and are left out.
+    without night pauses have no home and are left out, unless ``home_at`` states one for all.
     """
     daily = width_s == 86_400
     names = ("bin_start", *DAILY)
     schema = pa.schema([("participant", pa.string()), *[(n, pa.float64()) for n in names]])
 
     def work(_: str, rows: np.ndarray) -> list:
-        home = home_of(rows, zone)
+        home = home_at or home_of(rows, zone)
         if home is None:
             return []
         tz = ZoneInfo(zone)
@@ -364,6 +370,32 @@ def homes(trajectory: DataFrame, zone: str = "UTC") -> DataFrame:
     return by_participant(trajectory, lambda _, rows: [h] if (h := home_of(rows, zone)) else [], schema, "participant string, lat double, lon double")
 
 
+def merged_pauses(rows: np.ndarray, home: tuple[float, float], radius_m: float) -> list[list[float]]:
+    """[lat, lon, minutes] of the pauses beyond twice ``radius_m`` from home; one within that of an earlier place adds its minutes to the nearest."""
+    out: list[list[float]] = []
+    for row in rows:
+        lat, lon, minutes = row[LAT0], row[LON0], (row[T1] - row[T0]) / 60
+        if arc_m(lat, lon, *home) <= 2 * radius_m:
+            continue
+        away = arc_m(lat, lon, np.array([p[0] for p in out]), np.array([p[1] for p in out])) if out else np.zeros(0)
+        if len(away) and away.min() <= 2 * radius_m:
+            out[int(np.argmin(away))][2] += minutes
+        else:
+            out.append([lat, lon, minutes])
+    return out
+
+
+def pause_places(trajectory: DataFrame, radius_m: float = 7.5, zone: str = "UTC") -> DataFrame:
+    """``participant, place, lat, lon, minutes`` of ``merged_pauses``: what a map is asked about; participants without a home are left out."""
+    schema = pa.schema([("participant", pa.string()), ("place", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64()), ("minutes", pa.float64())])
+
+    def work(_: str, rows: np.ndarray) -> list:
+        home = home_of(rows, zone)
+        return [] if home is None else [(i, *map(float, p)) for i, p in enumerate(merged_pauses(rows[rows[:, STATUS] == PAUSE], home, radius_m))]
+
+    return by_participant(trajectory, work, schema, "participant string, place long, lat double, lon double, minutes double")
+
+
 def places(trajectory: DataFrame, threshold_m: float = 50.0) -> DataFrame:
     """``participant, place, lat, lon, visits, seconds`` of the clusters of each participant's pauses."""
     schema = pa.schema([("participant", pa.string()), ("place", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64()), ("visits", pa.int64()), ("seconds", pa.float64())])

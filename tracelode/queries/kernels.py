@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions.instants import sensor_instant
-from tracelode.operators import gait, places, simulate, trajectory
+from tracelode.operators import gait, gps_reports, imputation, places, simulate, trajectory
 from tracelode.operators.imputation import impute
 from tracelode.queries import trajectory_sql
-from tracelode.queries.mobility import fixes, rounded
+from tracelode.queries.mobility import fixes, raw_rows, rounded
 from tracelode.sources.tables import load
 
 #: Averages of a minute suit the sampling of these pings; pauses within 50 m.
@@ -43,6 +43,36 @@ def gps_hourly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(trajectory.summary(_trajectory(spark, sf_dir), 3600))
 
 
+def gps_daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published daily table, circadian columns included."""
+    path = _trajectory(spark, sf_dir)
+    return _published(gps_reports.report(trajectory.summary(path), True, "UTC", trajectory.routine(path)))
+
+
+def gps_hourly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(gps_reports.report(trajectory.summary(_trajectory(spark, sf_dir), 3600), False))
+
+
+def _published(df: DataFrame) -> DataFrame:
+    coarse = [c for c in df.columns if c in ("radius", "diameter", "max_dist_home")]
+    return rounded(rounded(df, 3, *coarse), 5, *[c for c, kind in df.dtypes if kind == "double" and c not in coarse])
+
+
+def gps_full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From pings to the daily table: quality gate, trajectory, filled gaps, summary."""
+    found = gps_reports.gps_reports(raw_rows(spark, sf_dir), fixes(spark, sf_dir), interval=60, r=50.0, w=50.0, h=30.0, least_share=0.0)
+    return _published(found["daily"])
+
+
+def pause_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rounded(trajectory.pause_places(_trajectory(spark, sf_dir)), 6, "lat", "lon"), 3, "minutes")
+
+
+def model_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the fitted models that a later part of the study would be carried on from."""
+    return imputation.model_states(_trajectory(spark, sf_dir)).select("participant", "fit", F.size("t").alias("n_vectors"), "last_t")
+
+
 def gps_day_night_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(trajectory.split_summary(_trajectory(spark, sf_dir)))
 
@@ -67,6 +97,24 @@ def walking_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seconds(spark, sf_dir)
 
 
+def bout_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range of the resampled magnitude in each second of each bout, as the walking test takes it."""
+    return rounded(_seconds(spark, sf_dir).select("source", "second", "pp"), 6, "pp")
+
+
+def _paced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds with a cadence made from their number where the x axis moves, for tables that SQL can follow."""
+    moving = bout_peak_to_peak(spark, sf_dir).select(F.col("participant").alias("source"), "second", (F.col("range_x") >= 0.3).alias("m"))
+    return moving.select("source", "second", F.when(F.col("m"), 1.375 + F.col("second") % 19 * 0.0625).otherwise(0.0).alias("cadence"))
+
+
+def _gait_table(width: int):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(gait.gait_report(_paced(spark, sf_dir), width, "America/New_York"), 6, "cadence")
+
+    return query
+
+
 def gait_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gait.gait_bins(_seconds(spark, sf_dir), 60)
 
@@ -123,10 +171,45 @@ def sim_gps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.simulate_gps(spark)
 
 
-QUERIES = {f.__name__: f for f in (flights_from_knots, mobility_infer, gps_daily_summary, gps_hourly_summary, gps_day_night_summary, routine_index_daily, home_location, significant_places, walking_cadence, gait_minute, gait_hourly, gait_daily, bout_peak_to_peak, impute_trajectory, poi_time_share, poi_log, sim_logs, sim_gps)}
+QUERIES = {f.__name__: f for f in (flights_from_knots, mobility_infer, gps_daily_summary, gps_hourly_summary, gps_daily_report, gps_hourly_report, gps_full_report, pause_places, model_states, gps_day_night_summary, routine_index_daily, home_location, significant_places, walking_cadence, gait_minute, gait_hourly, gait_daily, bout_peak_to_peak, bout_intensity, impute_trajectory, poi_time_share, poi_log, sim_logs, sim_gps)}
+
+QUERIES |= {"gait_table_minute": _gait_table(60), "gait_table_three_hourly": _gait_table(10_800), "gait_table_daily": _gait_table(86_400)}
+
+_USABLE = """
+WITH e AS (SELECT participant AS source, coalesce("timestamp", epoch_us(try_cast(utc_time AS TIMESTAMP)) // 1000) AS ms, x, y, z FROM accelerometer),
+ u AS (SELECT * FROM e WHERE source IS NOT NULL AND ms IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z))"""
+
+
+def _gait_sql(width: int) -> str:
+    unit = width if width in (60, 86_400) else 3600
+    rate = "max(mean)" if unit == 86_400 else "coalesce(sum(steps) / nullif(sum(walked), 0), 0)"
+    return _USABLE + f""",
+ r AS (SELECT source, ms // 1000 AS second, max(x) - min(x) + 13e-9 AS d FROM u GROUP BY ALL),
+ c AS (SELECT source, second - CASE WHEN second < 1615705200 THEN 18000 ELSE 14400 END AS local, CASE WHEN round(d, 6) >= 0.3 THEN 1.375 + second % 19 * 0.0625 ELSE 0.0 END AS cadence FROM r),
+ i AS (SELECT source, local // {unit} AS k, count(*) FILTER (cadence > 0) AS walked, floor(sum(cadence))::BIGINT AS steps, avg(cadence) FILTER (cadence > 0) AS mean FROM c GROUP BY ALL),
+ b AS (SELECT source, k * {unit} // {width} AS bin, sum(walked)::BIGINT AS walking_time, sum(steps)::BIGINT AS steps, {rate} AS cadence FROM i GROUP BY ALL),
+ s AS (SELECT source, unnest(range(min(bin) * {width} // 86400 * {86_400 // width}, (max(bin) * {width} // 86400 + 1) * {86_400 // width})) AS bin FROM b GROUP BY source)
+SELECT source, strftime(make_timestamp(bin * {width} * 1000000), '{"%Y-%m-%d" if width == 86_400 else "%Y-%m-%d %H:%M:%S"}') AS date, walking_time, steps, round(cadence + 13e-9, 6) AS cadence FROM s LEFT JOIN b USING (source, bin)"""
+
 
 ORACLE = {
     **trajectory_sql.ORACLE,
+    "gait_table_minute": _gait_sql(60),
+    "gait_table_three_hourly": _gait_sql(10_800),
+    "gait_table_daily": _gait_sql(86_400),
+    "bout_intensity": _USABLE + """,
+ d AS (SELECT *, row_number() OVER (PARTITION BY source, ms ORDER BY x, y, z) AS r FROM u),
+ t AS (SELECT source, ms // 86400000 AS day, ms / 1000 AS t, x, y, z FROM d WHERE r = 1),
+ g AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 1 THEN 0 ELSE 1 END AS o, lead(t) OVER w AS t2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM t WINDOW w AS (PARTITION BY source, day ORDER BY t)),
+ b AS (SELECT *, sum(o) OVER (PARTITION BY source, day ORDER BY t ROWS UNBOUNDED PRECEDING) AS b FROM g),
+ n AS (SELECT source, day, b, min(t) AS a, max(t) AS z, ceil((max(t) - min(t)) / 0.1)::BIGINT AS n FROM b GROUP BY ALL HAVING count(*) >= 2),
+ p AS (SELECT source, day, b, a, n, n // 10 * 10 + CASE WHEN n % 10 >= 7 THEN 10 ELSE 0 END AS m, unnest(range(n)) AS k FROM n),
+ f AS (SELECT p.*, p.a + k * 0.1 AS ta FROM p WHERE k < m),
+ j AS (SELECT f.*, (x2 - x) / (t2 - b.t) * (ta - b.t) + x AS vx, (y2 - y) / (t2 - b.t) * (ta - b.t) + y AS vy, (z2 - z) / (t2 - b.t) * (ta - b.t) + z AS vz FROM f ASOF JOIN b ON f.source = b.source AND f.day = b.day AND f.b = b.b AND f.ta >= b.t),
+ q AS (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS size FROM j),
+ l AS (SELECT source, day, b, (sum(size) + (any_value(m) - count(*)) * arg_max(size, k)) / any_value(m) AS mean FROM q GROUP BY ALL),
+ v AS (SELECT q.*, CASE WHEN mean > 5 THEN size / 9.80665 ELSE size END - 1 AS v FROM q JOIN l USING (source, day, b))
+SELECT source, floor(min(ta))::BIGINT AS second, round(max(v) - min(v) + 13e-9, 6) AS pp FROM v GROUP BY source, day, b, k // 10""",
     "bout_peak_to_peak": """
 WITH e AS (SELECT participant, coalesce("timestamp", epoch_us(try_cast(utc_time AS TIMESTAMP)) // 1000) // 1000 AS second, x, y, z FROM accelerometer)
 SELECT participant, second, round(max(x) - min(x) + 13e-9, 6) AS range_x, round(max(y) - min(y) + 13e-9, 6) AS range_y, round(max(z) - min(z) + 13e-9, 6) AS range_z FROM e

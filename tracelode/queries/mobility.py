@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions import geo
+from tracelode.functions.instants import sensor_instant
 from tracelode.functions.ordered import with_neighbour
 from tracelode.operators import mobility as M
 from tracelode.operators.stops import clean_fixes
@@ -18,6 +19,11 @@ def fixes(spark: SparkSession, sf_dir: str, limit_m: float = 51.0) -> DataFrame:
     return rows.select("participant", F.floor(F.col("t") / 1000).alias("t"), "lat", "lon").distinct()
 
 
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``participant, t`` (seconds) of all rows with both, as uploaded."""
+    return load(spark, sf_dir, "gps").select("participant", F.floor(sensor_instant() / 1000).alias("t")).dropna()
+
+
 def _collapsed(spark, sf_dir):
     return M.collapse(fixes(spark, sf_dir))
 
@@ -36,7 +42,7 @@ def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
 
 
 def gps_accuracy_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.quality_gate(fixes(spark, sf_dir)), 6, "quality")
+    return rounded(M.quality_gate(raw_rows(spark, sf_dir)), 6, "quality")
 
 
 def gps_collapse_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +158,7 @@ _CLIP = _SEG + """,
 
 ORACLE = {
     "gps_accuracy_quality": _FIX + """,
- f AS (SELECT participant, t // 3600 AS f, count(*) AS n FROM x GROUP BY ALL)
+ f AS (SELECT participant, ms // 3600000 AS f, count(*) AS n FROM g WHERE participant IS NOT NULL AND ms IS NOT NULL GROUP BY ALL)
 SELECT participant, count(*) AS n_files, round(count(*) FILTER (n > 60) / (count(*) + 0.0001), 6) AS quality, count(*) FILTER (n > 60) / (count(*) + 0.0001) > 0.05 AS passes FROM f GROUP BY participant""",
     "gps_collapse_10s": _col(10) + " SELECT participant, bin, t::DOUBLE AS t, round(lat + 13e-9, 6) AS lat, round(lon + 13e-9, 6) AS lon FROM c",
     "gps_gap_rows": _col(10) + " SELECT participant, origin + (bin + 1) * 10 AS gap_start, origin + next_bin * 10 AS gap_end FROM c WHERE next_bin - bin > 1",

@@ -7,6 +7,7 @@ and the statistics of bins.
 
 from __future__ import annotations
 
+from tracelode.operators.gps_reports import DAILY_COLUMNS, HOURLY_COLUMNS
 from tracelode.queries.mobility import _col, _gc, _off
 
 STEP, R, W, H = 60, 50, 50, 30
@@ -82,10 +83,11 @@ TRAJECTORY = FLIGHTS + f""",
    UNION ALL SELECT participant, 2, lat0, lon0, since, lat0, lon0, t0, 0 FROM gp WHERE since IS NOT NULL)"""
 
 
-def places(source: str, within: float, name: str) -> str:
-    """Greedy places ``name`` (grp, places) of ``source`` (grp, i from 1, lat, lon, s)."""
+def places(source: str, within: float, name: str, moving: bool = True) -> str:
+    """Greedy places ``name`` (grp, places) of ``source`` (grp, i from 1, lat, lon, s); their centres move to the mean of their visits or stay."""
     here = f"list_transform(p.places, lambda z: {_gc('n.lat', 'n.lon', 'z.y', 'z.x')})"
-    moved = "{'y': (z.y * z.n + lat) / (z.n + 1), 'x': (z.x * z.n + lon) / (z.n + 1), 'n': z.n + 1, 's': z.s + s}"
+    y, x = ("(z.y * z.n + lat) / (z.n + 1)", "(z.x * z.n + lon) / (z.n + 1)") if moving else ("z.y", "z.x")
+    moved = f"{{'y': {y}, 'x': {x}, 'n': z.n + 1, 's': z.s + s}}"
     return f""",
  {name}_r AS (
    SELECT grp, i, [{{'y': lat, 'x': lon, 'n': 1::BIGINT, 's': s}}] AS places FROM {source} WHERE i = 1
@@ -170,6 +172,29 @@ def _stats(value: str = "{n}", suffix: str = "") -> str:
     return ", ".join(f"round({value.format(n=n)} + {13 * 10.0 ** -(d + 3)}, {d}) AS {n}{suffix}" for n in NAMES for d in [0 if n in ("radius", "diameter", "max_dist_home") else 3])
 
 
+PAUSES = HOMES + f""",
+ mq AS (SELECT tr.participant AS grp, lat0 AS lat, lon0 AS lon, t1 - t0 AS s, row_number() OVER (PARTITION BY tr.participant ORDER BY t0) AS i FROM tr JOIN hm USING (participant) WHERE status = 2 AND {_gc("lat0", "lon0", "h.y", "h.x")} > 15)""" + places("mq", 15, "mp", False)
+
+
+def _clock(parts: str) -> str:
+    return ", ".join(f"{f}(make_timestamp(CAST(bin_start * 1000000 AS BIGINT)))::INT AS {f}" for f in ("year", "month", "day", "hour")[: len(parts)])
+
+
+def _units(daily: bool) -> str:
+    """Columns of the published table in its units, nulls where nothing was observed."""
+    out = []
+    for n in DAILY_COLUMNS if daily else HOURLY_COLUMNS:
+        unit = 1
+        if n.endswith(("duration", "time", "obs_day", "obs_night")):
+            unit = 3600 if daily else 60
+        elif n in ("dist_traveled", "max_dist_home", "radius", "diameter") or daily and n.endswith("flight_length"):
+            unit = 1000
+        v = n if n.startswith("obs_") else f"CASE WHEN obs_duration > 0 THEN {n} END"
+        d = 3 if n in ("radius", "diameter", "max_dist_home") else 5
+        out.append(f"round(({v}) / {unit} + {13 * 10.0 ** -(d + 3)}, {d}) AS {n}")
+    return ", ".join(out)
+
+
 _SPOTS = ("lat0", "lon0", "lat1", "lon1")
 ORACLE = {
     "flights_from_knots": FLIGHTS + f" SELECT participant, status, t0::DOUBLE AS t0, t1::DOUBLE AS t1, 1 AS obs, {_rounded(_SPOTS, 6)} FROM fl",
@@ -181,4 +206,9 @@ FROM (SELECT grp AS participant, unnest(range(len(places))) AS place, unnest(lis
     "gps_hourly_summary": HOURLY + f" SELECT participant, bin_start::DOUBLE AS bin_start, {_stats()} FROM sm",
     "gps_day_night_summary": SPLIT + " SELECT participant, bin_start::DOUBLE AS bin_start, " + _stats("max({n}) FILTER (part = 'daytime')", "_daytime") + ", " + _stats("max({n}) FILTER (part = 'nighttime')", "_nighttime") + " FROM sm GROUP BY participant, bin_start",
     "routine_index_daily": ROUTINE,
+    "pause_places": PAUSES + f""" SELECT participant, place, {_rounded(('lat', 'lon'), 6)}, {_rounded(('minutes',), 3)}
+FROM (SELECT grp AS participant, unnest(range(len(places))) AS place, unnest(list_transform(places, lambda z: z.y)) AS lat, unnest(list_transform(places, lambda z: z.x)) AS lon, unnest(list_transform(places, lambda z: z.s)) / 60 AS minutes FROM mp)""",
+    "gps_daily_report": DAILY + ", " + ROUTINE[len(TRAJECTORY):].split(",", 1)[1].replace("ext AS", "ext2 AS", 1).replace("FROM ext)", "FROM ext2)").replace("\nSELECT dy.participant", ",\n ri AS (SELECT dy.participant", 1) + f""")
+SELECT participant, {_clock("ymd")}, {_units(True)}, round(routine + 13e-8, 5) AS physical_circadian_rhythm, round(routine_stratified + 13e-8, 5) AS physical_circadian_rhythm_stratified FROM sm LEFT JOIN ri USING (participant, bin_start)""",
+    "gps_hourly_report": HOURLY + f" SELECT participant, {_clock('ymdh')}, {_units(False)} FROM sm",
 }
