@@ -38,17 +38,20 @@ def study(root):
 
 def test_study_folder(spark, tmp_path):
     folder = study(tmp_path / "study")
-    assert R.participants(folder) == ["u1"]
+    assert R.participants(spark, folder) == ["u1"]
     files = R.stream_files(spark, folder)
     assert files.count() == 7 and {r.participant for r in files.collect()} == {"u1"}
-    (limits,) = R.read_windows(files, start_s=0, end_s=2**40).collect()
+    (limits,) = R.read_windows(files, "gps", 0, 2**40).collect()
     assert (limits.start_s, limits.end_s) == (1612486800, 1612490400)
+    windows = R.read_windows(files, "gps", enrolled=R.enrolments(R.read_stream(spark, folder, "identifiers")))
+    assert windows.first().start_s == 0.001 and sorted(r.timestamp for r in R.read_stream(spark, folder, "gps", windows=windows).where("latitude > 1").collect()) == [1, 7]
+    assert [r.n_files for r in R.file_days(files).collect()] == [7] and R.files_between(files, "2021-02-05 01:00:00", "2021-02-05 02:00:00").count() == 3
     rows = {r.timestamp: r for r in R.read_stream(spark, folder, "gps").collect()}
     assert {1, 2, 7} <= set(rows) and rows[1].latitude == 1.5 and rows[2].latitude is None and rows[7]["UTC time"] == "z" and rows[7].accuracy is None
     assert [r.timestamp for r in R.read_stream(spark, folder, "gps", 1612486800, 1612490400).collect()] == [7]
     assert R.folder_size(files).first().n_files == 7
     answered = R.survey_answer_files(R.read_stream(spark, folder, "survey_answers"), "America/New_York").collect()
-    assert sorted(str(r.event) for r in answered) == ["None", "None", "submitted"] and {r.local_time.hour for r in answered} == {22, 23}
+    assert sorted(str(r.event) for r in answered) == ["None", "None", "submitted"] and {(r.local_time.hour, r.file_number) for r in answered} == {(22, 1), (23, 2)}
     heard = R.audio_recordings(spark, folder).orderBy("local_time", "submit_line").collect()
     assert [(r.local_time.second, r.event, r.seconds) for r in heard] == [(6, "present", 4.0), (10, "present", 4.0), (10, "submitted", 4.0)]
     assert R.audio_seconds(b"none") is None

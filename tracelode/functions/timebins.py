@@ -26,6 +26,20 @@ def _instant(epoch_s: Column) -> Column:
     return F.timestamp_millis(F.floor(epoch_s * 1000).cast("long"))
 
 
+def local_now(zone: str, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """The time of the query's start as text in ``zone``."""
+    return F.date_format(F.from_utc_timestamp(F.current_timestamp(), zone), pattern)
+
+
+def month_from_today() -> Column:
+    """The date 31 days from the query's start, the end of a study that states none."""
+    return F.date_add(F.current_date(), 31)
+
+
+def next_day(day: Column) -> Column:
+    return F.date_add(day, 1)
+
+
 def civil_to_epoch(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, zone: str) -> Column:
     """Epoch seconds of a civil time in ``zone``."""
     return F.unix_timestamp(F.to_utc_timestamp(F.make_timestamp(year, month, day, hour, minute, second), zone))

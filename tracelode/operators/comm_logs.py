@@ -37,20 +37,22 @@ def communication_summary(calls: DataFrame, texts: DataFrame, frequency: Frequen
         raise ValueError("call once per frequency")
     daily = frequency == Frequency.DAILY
     step = int(frequency) * 60
-    events = _stacked(calls, texts)
-    seconds = F.col("timestamp") / 1000
     unit = "DAY" if daily else "HOUR"
-    spans = events.groupBy("participant").agg(
-        local_floor(F.min("timestamp") / 1000, unit, zone).alias("first"),
-        local_floor(F.max("timestamp") / 1000, unit, zone).alias("last"),
-        F.max(F.col("is_call")).alias("has_calls"),
-        F.max(~F.col("is_call")).alias("has_texts"),
-    )
-    binned = events.join(spans.select("participant", "first"), "participant").withColumn("bin", F.floor((seconds - F.col("first")) / step).cast("long"))
     kinds = {**{f"call_{k}": v for k, v in CALL_TYPES.items()}, **{f"text_{k}": v for k, v in TEXT_TYPES.items()}}
     counts = [F.count_if(F.col("kind") == v).alias(f"n_{k}") for k, v in kinds.items()]
     sums = [F.sum(F.when(F.col("kind") == kinds[k], F.col("amount")).otherwise(0.0)).alias(f"sum_{k}") for k in ("call_in", "call_out", "text_s", "text_r")]
-    by_phone = binned.groupBy("participant", "bin", "phone").agg(*counts, *sums)
+    sums += [F.max("is_call").alias("calls"), F.max(~F.col("is_call")).alias("texts")]
+    slot = min(900, step)  # local hours and days begin at whole quarters of an hour in every zone, so slots fall into bins as wholes
+    quarters = _stacked(calls, texts).groupBy("participant", "phone", F.floor(F.col("timestamp") / 1000 / slot).alias("quarter")).agg(*counts, *sums)
+    spans = quarters.groupBy("participant").agg(
+        local_floor(F.min("quarter") * slot, unit, zone).alias("first"),
+        local_floor(F.max("quarter") * slot, unit, zone).alias("last"),
+        F.max("calls").alias("has_calls"),
+        F.max("texts").alias("has_texts"),
+    )
+    binned = quarters.join(spans.select("participant", "first"), "participant").withColumn("bin", F.floor((F.col("quarter") * slot - F.col("first")) / step).cast("long"))
+    again = [c for c in quarters.columns if c.startswith(("n_", "sum_"))]
+    by_phone = binned.groupBy("participant", "bin", "phone").agg(*[F.sum(c).alias(c) for c in again])
     n = lambda k: F.col(f"n_{k}")
     known = F.col("phone").isNotNull()
     phones = lambda cond: F.count_if(known & cond)
@@ -96,3 +98,16 @@ def contact_union(calls: DataFrame, texts: DataFrame) -> DataFrame:
     sms = texts.where(F.col("direction").isin(TEXT_TYPES["s"], TEXT_TYPES["r"])).select("participant", "phone")
     both = calls.where(F.col("call_type").isin(*CALL_TYPES.values())).select("participant", "phone").unionByName(sms)
     return both.dropna().distinct().groupBy("participant").agg(F.count(F.lit(1)).alias("n_contacts"))
+
+
+def communication_summaries(calls: DataFrame, texts: DataFrame, frequency: Frequency, zone: str = "UTC") -> dict[str, DataFrame]:
+    """The tables of a frequency by name; HOURLY_AND_DAILY gives both, and a participant without events has no rows in any."""
+    asked = (Frequency.HOURLY, Frequency.DAILY) if frequency == Frequency.HOURLY_AND_DAILY else (frequency,)
+    return {f.name.lower(): communication_summary(calls, texts, f, zone) for f in asked}
+
+
+def summary_checks(summary: DataFrame) -> DataFrame:
+    """Rows per participant in which a count can't be: more phones than calls or texts of a kind, or characters without texts."""
+    wrong = (F.col("num_in_caller") > F.col("num_in_call")) | (F.col("num_out_caller") > F.col("num_out_call")) | (F.col("num_mis_caller") > F.col("num_mis_call"))
+    wrong = wrong | (F.col("num_s_tel") > F.col("num_s")) | (F.col("num_r_tel") > F.col("num_r")) | ((F.col("total_char_s") > 0) & (F.col("num_s") == 0))
+    return summary.groupBy("participant").agg(F.count_if(F.coalesce(wrong, F.lit(False))).alias("n_wrong"), F.count(F.lit(1)).alias("n_rows"))

@@ -50,7 +50,7 @@ def question_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weekend_holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = load(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
-    return days.where((F.weekday("day") == 4) & stats.is_us_holiday(F.col("day"))).select("day")
+    return days.where(stats.is_us_holiday(F.col("day"))).select("day", (F.weekday("day") >= 5).alias("weekend"))
 
 
 def gap_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,14 @@ def contacts_never_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (summary_stat_registry, round_timestamp, between_days_spine, window_index, clean_frame, civil_fields, question_types, weekend_holidays, gap_multipliers, contacts_never_answered)}
 
+_FIXED = "((month({d}) = 1 AND day({d}) = 1) OR (month({d}) = 7 AND day({d}) = 4) OR (month({d}) = 11 AND day({d}) = 11) OR (month({d}) = 12 AND day({d}) = 25) OR (month({d}) = 6 AND day({d}) = 19 AND year({d}) >= 2021))"
+
 ORACLE = {
+    "weekend_holidays": f"""
+WITH d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders)
+SELECT day, isodow(day) >= 6 AS weekend FROM d WHERE {_FIXED.format(d="day")} OR (isodow(day) = 5 AND {_FIXED.format(d="(day + 1)")}) OR (isodow(day) = 1 AND {_FIXED.format(d="(day - 1)")})
+ OR (isodow(day) = 1 AND ((month(day) = 1 AND day(day) BETWEEN 15 AND 21) OR (month(day) = 2 AND day(day) BETWEEN 15 AND 21) OR (month(day) = 5 AND day(day) >= 25) OR (month(day) = 9 AND day(day) <= 7) OR (month(day) = 10 AND day(day) BETWEEN 8 AND 14)))
+ OR (isodow(day) = 4 AND month(day) = 11 AND day(day) BETWEEN 22 AND 28)""",
     "summary_stat_registry": """SELECT o_orderpriority, count(o_totalprice) AS n, round(max(o_totalprice) - min(o_totalprice) + 13e-5, 2) AS range,
  round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) + 13e-5, 2) AS iqr, round(stddev_samp(o_totalprice) + 13e-5, 2) AS std, round(var_samp(o_totalprice) + 13e-5, 2) AS var,
  round(avg(o_totalprice) + 13e-5, 2) AS mean, round(median(o_totalprice) + 13e-5, 2) AS median FROM orders GROUP BY o_orderpriority""",

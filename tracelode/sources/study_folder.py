@@ -9,7 +9,7 @@ import wave
 from io import BytesIO, StringIO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions.timebins import file_name_epoch, file_name_local
@@ -29,64 +29,113 @@ SCHEMAS = {
 SURVEY_STREAMS = ("survey_timings", "survey_answers", "audio_recordings")
 
 
-def participants(folder: str) -> list[str]:
-    """Sub-folders that are neither hidden nor the registry, sorted."""
-    return sorted(n for n in os.listdir(folder) if not n.startswith(".") and n != "registry" and os.path.isdir(os.path.join(folder, n)))
+def participants(spark: SparkSession, folder: str) -> list[str]:
+    """Sub-folders that are neither hidden nor the registry, sorted; any file system that Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    names = [x.getPath().getName() for x in found if x.isDirectory()]
+    return sorted(n for n in names if not n.startswith(".") and n != "registry")
+
+
+def _below(path: Column, folder: str) -> Column:
+    """A path without ``folder`` at its head, percent signs resolved."""
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^.*?" + os.path.basename(folder.rstrip("/")) + "/", "")
 
 
 def _part(path: Column, folder: str, k: int) -> Column:
     """The k-th part of a path below ``folder``."""
-    below = F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^.*?" + os.path.basename(folder.rstrip("/")) + "/", "")
-    return F.get(F.split(below, "/"), F.lit(k))
+    return F.get(F.split(_below(path, folder), "/"), F.lit(k))
 
 
 def _place(folder: str, stream: str) -> str:
     return f"{folder.rstrip('/')}/*/{stream}"
 
 
-def stream_files(spark: SparkSession, folder: str, stream: str = "*") -> DataFrame:
-    """``participant, stream, path, name, n_bytes, file_s`` of the data files, from the listing alone."""
-    pin(spark)
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_place(folder, stream)).select("path", "length")
-    name = F.element_at(F.split(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/"), -1)
-    rows = rows.select(_part(F.col("path"), folder, 0).alias("participant"), _part(F.col("path"), folder, 1).alias("stream"), "path", name.alias("name"), F.col("length").alias("n_bytes"))
+def listing(files: DataFrame, path: Column, n_bytes: Column) -> DataFrame:
+    """``participant, stream, survey_folder, name, n_bytes, file_s`` of paths ``participant/stream/[survey/]name``.
+
+    Hidden participants, the registry and hidden files are left out; survey_folder is null where
+    there is none, file_s where the name states no hour. Other columns are kept.
+    """
+    parts = F.split(path, "/")
+    rows = files.withColumns({"participant": F.get(parts, F.lit(0)), "stream": F.get(parts, F.lit(1)), "survey_folder": F.when(F.size(parts) > 3, F.get(parts, F.lit(2))), "name": F.element_at(parts, -1), "n_bytes": n_bytes})
     hidden = F.startswith("participant", F.lit(".")) | (F.col("participant") == "registry") | F.startswith("name", F.lit("."))
     return rows.where(~hidden).withColumn("file_s", file_name_epoch(F.col("name")))
 
 
+def stream_files(spark: SparkSession, folder: str, stream: str = "*") -> DataFrame:
+    """``listing`` of the data files of a study folder with their ``path``, without reading them."""
+    rows = pin(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(_place(folder, stream)).select("path", "length")
+    return listing(rows, _below(F.col("path"), folder), F.col("length")).drop("length")
+
+
+def files_between(files: DataFrame, first: str, last: str) -> DataFrame:
+    """Files whose names state an instant from ``first`` to ``last`` (UTC), both included."""
+    at = F.timestamp_seconds("file_s")
+    return files.where(at.between(F.lit(first).cast("timestamp"), F.lit(last).cast("timestamp")))
+
+
+def file_days(files: DataFrame, zone: str = "UTC") -> DataFrame:
+    """``participant, day, n_files``: every local day from a participant's first file to the last, those without files too."""
+    dated = files.where(F.col("file_s").isNotNull()).select("participant", F.to_date(F.from_utc_timestamp(F.timestamp_seconds("file_s"), zone)).alias("day")).groupBy("participant", "day").agg(F.count(F.lit(1)).alias("n_files"))
+    spine = dated.groupBy("participant").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("participant", F.explode(F.sequence("a", "b")).alias("day"))
+    return spine.join(dated, ["participant", "day"], "left").select("participant", "day", F.coalesce("n_files", F.lit(0)).alias("n_files"))
+
+
 def folder_size(files: DataFrame) -> DataFrame:
     """Files and MiB (rounded) per participant."""
     return files.groupBy("participant").agg(F.count(F.lit(1)).alias("n_files"), F.round(F.sum("n_bytes") / 1_048_576, 0).alias("mib"))
 
 
-def read_windows(files: DataFrame, start_s: int | None = None, end_s: int | None = None) -> DataFrame:
-    """``participant, start_s, end_s``: from enrolment (its first identifiers file, else its first file) to its last file of a non-survey stream, within the asked limits."""
-    enrolled = F.coalesce(F.min(F.when(F.col("stream") == "identifiers", F.col("file_s"))), F.min("file_s"))
-    last = F.max(F.when(~F.col("stream").isin(*SURVEY_STREAMS, "identifiers"), F.col("file_s")))
-    limits = files.where(F.col("file_s").isNotNull()).groupBy("participant").agg(enrolled.alias("start_s"), last.alias("end_s"))
+def enrolments(identifiers: DataFrame) -> DataFrame:
+    """``participant, enrolled_s``: the first stamp of a participant's first identifiers file."""
+    first = identifiers.groupBy("participant").agg(F.min(F.struct("file_name", "timestamp")).alias("f"))
+    return first.select("participant", (F.col("f.timestamp") / 1000).alias("enrolled_s"))
+
+
+def read_windows(files: DataFrame, stream: str, start_s: int | None = None, end_s: int | None = None, enrolled: DataFrame | None = None) -> DataFrame:
+    """``participant, start_s, end_s`` within which files of ``stream`` are read, the end excluded.
+
+    From enrolment (``enrolled``, else the first identifiers file, else the stream's first file),
+    to the last file of any stream but those of surveys, within the asked limits. Participants
+    without files of the stream are left out.
+    """
+    own = F.min(F.when(F.col("stream") == stream, F.col("file_s")))
+    begun = F.coalesce(F.min(F.when(F.col("stream") == "identifiers", F.col("file_s"))), own)
+    last = F.max(F.when(~F.col("stream").isin(*SURVEY_STREAMS), F.col("file_s")))
+    limits = files.where(F.col("file_s").isNotNull()).groupBy("participant").agg(begun.alias("start_s"), last.alias("end_s"), own.alias("_own")).where(F.col("_own").isNotNull()).drop("_own")
+    if enrolled is not None:
+        limits = limits.join(enrolled, "participant", "left").withColumn("start_s", F.coalesce("enrolled_s", "start_s")).drop("enrolled_s")
     if start_s is not None:
         limits = limits.withColumn("start_s", F.greatest("start_s", F.lit(start_s)))
     return limits if end_s is None else limits.withColumn("end_s", F.least("end_s", F.lit(end_s)))
 
 
-def read_stream(spark: SparkSession, folder: str, stream: str, start_s: int | None = None, end_s: int | None = None) -> DataFrame:
+def in_windows(files: DataFrame, windows: DataFrame) -> DataFrame:
+    """Files that begin in their participant's window."""
+    return files.join(windows, "participant").where((F.col("file_s") >= F.col("start_s")) & (F.col("file_s") < F.col("end_s"))).drop("start_s", "end_s")
+
+
+def read_stream(spark: SparkSession, folder: str, stream: str, start_s: int | None = None, end_s: int | None = None, windows: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Rows of a stream with ``participant, survey_folder, file_name``, from files stamped in [start, end).
 
-    Columns are taken by name from each file's header; those a file lacks are null. Corrupt
-    files and lines that don't fit give nulls or nothing, never an error.
+    ``strict`` leaves out files stamped exactly at the start; ``windows`` (``read_windows``) bounds
+    each participant's files. Columns are taken by name from each file's header; those a file
+    lacks are null. Corrupt files and lines that don't fit give nulls or nothing, never an error.
     """
-    pin(spark)
-    names = [n.strip("`") for n in _names(SCHEMAS[stream])]
-    kinds = dict(zip(names, [f.split()[-1] for f in SCHEMAS[stream].split(", ")], strict=True))
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("ignoreCorruptFiles", "true").text(_place(folder, stream), wholetext=True)
-    path = F.col("_metadata.file_path")
-    files = lines.select(F.col("value").cast("binary"), _part(path, folder, 0).alias("participant"), _part(path, folder, 2).alias("survey_folder"), F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("file_name"))
-    stamp = file_name_epoch(F.col("file_name"))
-    files = files.where(~F.startswith("participant", F.lit(".")) & (F.col("participant") != "registry"))
+    lines = pin(spark).read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("ignoreCorruptFiles", "true").text(_place(folder, stream), wholetext=True)
+    files = listing(lines.select("value", F.col("_metadata.file_path").alias("path")), _below(F.col("path"), folder), F.lit(None))
     if start_s is not None:
-        files = files.where(stamp >= start_s)
+        files = files.where(F.col("file_s") > start_s if strict else F.col("file_s") >= start_s)
     if end_s is not None:
-        files = files.where(stamp < end_s)
+        files = files.where(F.col("file_s") < end_s)
+    return rows_of_files(files if windows is None else in_windows(files, windows), stream)
+
+
+def rows_of_files(files: DataFrame, stream: str) -> DataFrame:
+    """The rows of CSV files (participant, survey_folder, name, value) of a stream, typed as ``SCHEMAS`` says."""
+    names = [n.strip("`") for n in _names(SCHEMAS[stream])]
+    kinds = dict(zip(names, [f.split()[-1] for f in SCHEMAS[stream].split(", ")], strict=True))
 
     def parse(batches):
         for batch in batches:
@@ -97,8 +146,14 @@ def read_stream(spark: SparkSession, folder: str, stream: str, start_s: int | No
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=[*names, "participant", "survey_folder", "file_name"])
 
-    texts = files.mapInArrow(parse, ", ".join(f"`{n}` string" for n in names) + ", participant string, survey_folder string, file_name string")
-    return texts.select("participant", "survey_folder", "file_name", *[F.col(f"`{n}`").try_cast(kinds[n]).alias(n) for n in names])
+    texts = files.where(F.col("value").isNotNull()).select(F.col("value").cast("binary"), "participant", "survey_folder", "name")
+    rows = texts.mapInArrow(parse, ", ".join(f"`{n}` string" for n in names) + ", participant string, survey_folder string, file_name string")
+    return rows.select("participant", "survey_folder", "file_name", *[F.col(f"`{n}`").try_cast(kinds[n]).alias(n) for n in names])
+
+
+def timed_survey_rows(timings: DataFrame) -> DataFrame:
+    """Rows of survey_timings with ``day_of_week`` (Monday 0) of their UTC time."""
+    return timings.withColumn("day_of_week", F.weekday(F.timestamp_millis("timestamp")))
 
 
 def _csv_rows(content: bytes, names: list[str]) -> list[list[str | None]]:
@@ -126,8 +181,9 @@ def survey_answer_files(answers: DataFrame, zone: str = "UTC") -> DataFrame:
     keys = ["participant", "survey_folder", "file_name"]
     timed = answers.withColumn("local_time", file_name_local(F.col("file_name"), zone))
     files = timed.groupBy(*keys).agg(F.min("local_time").alias("local_time"), F.bool_and(F.coalesce(F.col("answer") != "NOT_PRESENTED", F.lit(True))).alias("submitted"))
-    rows = timed.withColumn("event", F.lit(None).cast("string"))
-    lines = files.where("submitted").select(*keys, "local_time", F.lit("submitted").alias("event"))
+    files = files.withColumn("file_number", F.row_number().over(Window.partitionBy("participant", "survey_folder").orderBy("local_time", "file_name")))
+    rows = timed.join(files.select(*keys, "file_number"), keys).withColumn("event", F.lit(None).cast("string"))
+    lines = files.where("submitted").select(*keys, "local_time", "file_number", F.lit("submitted").alias("event"))
     return rows.unionByName(lines, allowMissingColumns=True)
 
 
