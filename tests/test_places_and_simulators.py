@@ -69,3 +69,23 @@ def test_simulated_calls_and_texts_are_both_put_out(spark):
 
     calls, texts = Z.simulate_logs(spark)
     assert {r["kind"]: r["count"] for r in sim_logs(spark, "").groupBy("kind").count().collect()} == {"call": calls.count(), "text": texts.count()}
+
+
+def test_people_and_switches():
+    people = Z.people_of({"User 1": {"vehicle": "bus", "main_employment": "university", "active_status": 10, "preferred_exits": ["cinema"]}, "Users 2-3": {"active_status": 8, "active_status-1": 0, "vehicle-2": "car"}})
+    assert sorted(people) == [1, 2, 3] and people[1].on(5) == Z.Attributes("bus", "university", 10, 5, ("cinema",))
+    assert [people[2].on(d).active_status for d in (0, 1, 2)] == [8, 0, 0] and [people[3].on(d).vehicle for d in (1, 2)] == ["foot", "car"]
+    for bad in ({"User": {}}, {"User 1": {"vehicle": "boat"}}, {"User 1": {"active_status": 11}}, {"User 1": {"preferred_exits": ["bar", "bar"]}}):
+        with pytest.raises(ValueError):
+            Z.people_of(bad)
+    monday = 1_641_168_000
+    idle = Z.Person(Z.Attributes("foot", "none", 0))
+    still = np.array(Z.one_trace(0, 2, monday, 1, Z.Traveller(), idle))
+    assert np.ptp(still[:, 1:], axis=0).max() == 0 and abs(len(still) - 2 * 86_400 / 5) <= 2
+    ride = np.array(Z.one_trace(0, 1, monday, 1, Z.Traveller(), Z.Person(Z.Attributes("bus", "office", 0))))
+    drive = np.array(Z.one_trace(0, 1, monday, 1, Z.Traveller(), Z.Person(Z.Attributes("car", "office", 0))))
+    pauses = lambda x: int((np.diff(np.flatnonzero(np.hypot(*np.diff(x[:, 1:], axis=0).T) > 0)) > 1).sum())
+    assert pauses(ride) > pauses(drive) == 1 and (np.diff(ride[:, 0]) > 0).all()
+    quiet = np.array(Z.one_trace(1, 3, monday + 5 * 86_400, 2, Z.Traveller(), Z.Person(Z.Attributes("foot", "none", 10), ((1, "active_status", 0),))))
+    moved = [np.ptp(quiet[(quiet[:, 0] - monday) // 86_400 == 5 + d][:, 1:], axis=0).max() for d in range(3)]
+    assert moved[0] > 0 and moved[2] == 0

@@ -116,13 +116,22 @@ def in_windows(files: DataFrame, windows: DataFrame) -> DataFrame:
     return files.join(windows, "participant").where((F.col("file_s") >= F.col("start_s")) & (F.col("file_s") < F.col("end_s"))).drop("start_s", "end_s")
 
 
+def _any_file(spark: SparkSession, glob: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def read_stream(spark: SparkSession, folder: str, stream: str, start_s: int | None = None, end_s: int | None = None, windows: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Rows of a stream with ``participant, survey_folder, file_name``, from files stamped in [start, end).
 
     ``strict`` leaves out files stamped exactly at the start; ``windows`` (``read_windows``) bounds
     each participant's files. Columns are taken by name from each file's header; those a file
-    lacks are null. Corrupt files and lines that don't fit give nulls or nothing, never an error.
+    lacks are null. Corrupt files and lines that don't fit give nulls or nothing, never an error;
+    a stream that nobody has gives no rows.
     """
+    if not _any_file(spark, _place(folder, stream)):
+        return rows_of_files(pin(spark).createDataFrame([], "participant string, survey_folder string, name string, value string"), stream)
     lines = pin(spark).read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("ignoreCorruptFiles", "true").text(_place(folder, stream), wholetext=True)
     files = listing(lines.select("value", F.col("_metadata.file_path").alias("path")), _below(F.col("path"), folder), F.lit(None))
     if start_s is not None:
