@@ -28,6 +28,13 @@ def window_counts(df: DataFrame, keys: Sequence[str], at: Column, width: int) ->
     return df.where(at.isNotNull()).groupBy(*keys, start.alias("window_start")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def window_rows(df: DataFrame, keys: Sequence[str], at: Column, width: int, row: str) -> DataFrame:
+    """``*keys, window_start, rows``: the values of ``row`` in each window in order of time; a window's rows are held together, so ``width`` bounds them."""
+    start = at - F.pmod(at, F.lit(width))
+    grouped = df.where(at.isNotNull()).groupBy(*keys, start.alias("window_start")).agg(F.sort_array(F.collect_list(F.struct(at.alias("t"), F.col(row).alias("r")))).alias("s"))
+    return grouped.select(*keys, "window_start", F.col("s.r").alias("rows"))
+
+
 def gap_multiplier(seconds: Column) -> Column:
     """1, 5, 10 or 50 for lengths below half an hour, 3 hours, 18 hours and beyond."""
     return F.when(seconds <= 1800, 1).when(seconds <= 10_800, 5).when(seconds <= 64_800, 10).otherwise(50)

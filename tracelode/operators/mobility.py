@@ -131,6 +131,14 @@ def day_night(clipped: DataFrame, hour_from: int = 8, hour_to: int = 19) -> Data
     )
 
 
+def mobility_trace(path: DataFrame, step_s: int = 1) -> DataFrame:
+    """``participant, t, lat, lon``: where a participant rests at every whole multiple of ``step_s`` from the start to before the end of its pauses; of several pauses the first counts."""
+    first, last = F.ceil(F.col("t0") / step_s), F.ceil(F.col("t1") / step_s) - 1
+    rows = path.where((F.col("status") == 2) & (first <= last)).select("participant", "t0", "lat0", "lon0", F.explode(F.sequence(first, last)).alias("k"))
+    best = rows.groupBy("participant", "k").agg(F.min(F.struct("t0", "lat0", "lon0")).alias("b"))
+    return best.select("participant", (F.col("k") * step_s).alias("t"), F.col("b.lat0").alias("lat"), F.col("b.lon0").alias("lon"))
+
+
 def trace_agreement(trace: DataFrame, shifts: Sequence[int], within_m: float = 10.0, step_s: int = 10) -> DataFrame:
     """Share of a participant's instants within ``within_m`` of where it was ``shift`` days before.
 

@@ -102,10 +102,11 @@ def place_overlaps(pauses: DataFrame, places: DataFrame, radius: float = 50.0, p
 def place_times(pauses: DataFrame, overlaps: DataFrame) -> DataFrame:
     """``participant, kind, minutes, minutes_adjusted``: time by the kind with most overlap, and shared in proportion.
 
-    ``pauses``: participant, pause_id, seconds. Pauses that meet no place count as "other".
+    ``pauses``: participant, pause_id, seconds. Pauses that meet no place count as "other"; of kinds with
+    the same overlap (to a thousandth of a square metre) the first by name counts.
     """
     kinds = overlaps.groupBy("pause_id", "kind").agg(F.sum("m2").alias("m2"))
-    totals = kinds.groupBy("pause_id").agg(F.sum("m2").alias("total"), F.min(F.struct((-F.col("m2")).alias("m"), "kind")).alias("best"))
+    totals = kinds.groupBy("pause_id").agg(F.sum("m2").alias("total"), F.min(F.struct((-F.round("m2", 3)).alias("m"), "kind")).alias("best"))
     shared = kinds.join(totals, "pause_id").select("pause_id", "kind", (F.col("m2") / F.col("total")).alias("share"), (F.col("kind") == F.col("best.kind")).alias("chosen"))
     rows = pauses.select("participant", "pause_id", "seconds").join(shared, "pause_id", "left")
     minutes = F.col("seconds") / 60

@@ -32,6 +32,11 @@ def window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.window_counts(load(spark, sf_dir, "events"), ["user_id"], F.floor(stamp_ms(F.col("ts")) / 1000), 3600)
 
 
+def window_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.window_rows(load(spark, sf_dir, "events"), ["user_id"], F.floor(stamp_ms(F.col("ts")) / 1000), 3600, "event_id")
+    return found.select("user_id", "window_start", F.concat_ws(",", F.transform("rows", lambda r: r.cast("string"))).alias("rows"))
+
+
 def clean_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct accelerometer rows."""
     return load(spark, sf_dir, "accelerometer").distinct().groupBy("participant").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -65,7 +70,7 @@ def contacts_never_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return came.join(went, ["participant", "phone"], "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (summary_stat_registry, round_timestamp, between_days_spine, window_index, clean_frame, civil_fields, question_types, weekend_holidays, gap_multipliers, contacts_never_answered)}
+QUERIES = {f.__name__: f for f in (summary_stat_registry, round_timestamp, between_days_spine, window_index, window_members, clean_frame, civil_fields, question_types, weekend_holidays, gap_multipliers, contacts_never_answered)}
 
 _FIXED = "((month({d}) = 1 AND day({d}) = 1) OR (month({d}) = 7 AND day({d}) = 4) OR (month({d}) = 11 AND day({d}) = 11) OR (month({d}) = 12 AND day({d}) = 25) OR (month({d}) = 6 AND day({d}) = 19 AND year({d}) >= 2021))"
 
@@ -81,6 +86,7 @@ SELECT day, isodow(day) >= 6 AS weekend FROM d WHERE {_FIXED.format(d="day")} OR
     "round_timestamp": "SELECT event_id, t - t % 900000 AS low, t - t % 900000 + 900000 AS high FROM (SELECT event_id, epoch_us(ts) // 1000 AS t FROM events)",
     "between_days_spine": "SELECT user_id, unnest(generate_series(min(ts)::DATE::TIMESTAMP, max(ts)::DATE::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM events GROUP BY user_id",
     "window_index": "SELECT user_id, epoch_us(ts) // 1000000 // 3600 * 3600 AS window_start, count(*) AS n_rows FROM events GROUP BY ALL",
+    "window_members": "SELECT user_id, t // 3600 * 3600 AS window_start, string_agg(event_id::VARCHAR, ',' ORDER BY t, event_id) AS rows FROM (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS t FROM events) GROUP BY ALL",
     "clean_frame": "SELECT participant, count(*) AS n_rows FROM (SELECT DISTINCT * FROM accelerometer) GROUP BY participant",
     "civil_fields": "SELECT event_id, year(ts) AS year, month(ts) AS month, day(ts) AS day, hour(ts) AS hour, minute(ts) AS minute, second(ts) AS second, strftime(ts, '%H:%M') AS clock, isodow(ts) - 1 AS weekday FROM events",
     "question_types": """SELECT CASE question_type WHEN 'radio_button' THEN 'Radio Button Question' WHEN 'checkbox' THEN 'Checkbox Question' WHEN 'slider' THEN 'Slider Question'

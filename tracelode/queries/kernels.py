@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions.instants import sensor_instant
-from tracelode.operators import gait, gps_reports, imputation, places, simulate, trajectory
+from tracelode.operators import gait, gps_reports, imputation, mobility, places, simulate, trajectory
 from tracelode.operators.imputation import impute
 from tracelode.queries import trajectory_sql
 from tracelode.queries.mobility import fixes, raw_rows, rounded
@@ -142,22 +142,27 @@ def _interest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Pauses, and squares and points of interest put beside every visited place."""
     path = _trajectory(spark, sf_dir).where("status = 2")
     pauses = path.select("participant", F.xxhash64("participant", "t0").alias("pause_id"), F.col("lat0").alias("lat"), F.col("lon0").alias("lon"), (F.col("t1") - F.col("t0")).alias("seconds"), "t0")
-    seen = trajectory.places(_trajectory(spark, sf_dir)).select(F.xxhash64("participant", "place").alias("place_id"), "lat", "lon")
-    kind = F.array(*map(F.lit, ("cafe", "park", "office", "shop")))[F.pmod("place_id", F.lit(4)).cast("int")]
+    seen = trajectory.places(_trajectory(spark, sf_dir)).select(F.xxhash64("participant", "place").alias("place_id"), "place", "lat", "lon")
+    kind = F.array(*map(F.lit, ("cafe", "park", "office", "shop")))[(F.col("place") % 4).cast("int")]
     corner = lambda a, b: F.array(F.col("lat") + a * 0.0004, F.col("lon") + b * 0.0004)
     square = F.array(corner(0, 0), corner(0, 1), corner(1, 1), corner(1, 0))
-    shape = F.when(F.pmod("place_id", F.lit(3)) == 0, F.array(corner(0, 0))).otherwise(square)
+    shape = F.when(F.col("place") % 3 == 0, F.array(corner(0, 0))).otherwise(square)
     return pauses, seen.select("place_id", kind.alias("kind"), shape.alias("shape"), F.create_map(F.lit("kind"), kind).alias("tags"))
 
 
 def poi_time_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     pauses, interest = _interest(spark, sf_dir)
-    return places.place_times(pauses, places.place_overlaps(pauses, interest))
+    return rounded(places.place_times(pauses, places.place_overlaps(pauses, interest)), 2, "minutes", "minutes_adjusted")
 
 
 def poi_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     pauses, interest = _interest(spark, sf_dir)
-    return places.places_log(pauses, places.place_overlaps(pauses, interest), interest).withColumn("tags", F.to_json("tags"))
+    rows = places.places_log(pauses, places.place_overlaps(pauses, interest), interest).withColumn("tags", F.to_json("tags"))
+    return rows.groupBy("participant", "day", "tags").agg(F.count(F.lit(1)).alias("n_places"))
+
+
+def mobility_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(mobility.mobility_trace(_trajectory(spark, sf_dir), 30), 6, "lat", "lon")
 
 
 def sim_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +176,7 @@ def sim_gps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.simulate_gps(spark)
 
 
-QUERIES = {f.__name__: f for f in (flights_from_knots, mobility_infer, gps_daily_summary, gps_hourly_summary, gps_daily_report, gps_hourly_report, gps_full_report, pause_places, model_states, gps_day_night_summary, routine_index_daily, home_location, significant_places, walking_cadence, gait_minute, gait_hourly, gait_daily, bout_peak_to_peak, bout_intensity, impute_trajectory, poi_time_share, poi_log, sim_logs, sim_gps)}
+QUERIES = {f.__name__: f for f in (flights_from_knots, mobility_infer, gps_daily_summary, gps_hourly_summary, gps_daily_report, gps_hourly_report, gps_full_report, pause_places, model_states, gps_day_night_summary, routine_index_daily, home_location, significant_places, walking_cadence, gait_minute, gait_hourly, gait_daily, bout_peak_to_peak, bout_intensity, impute_trajectory, poi_time_share, poi_log, mobility_trace, sim_logs, sim_gps)}
 
 QUERIES |= {"gait_table_minute": _gait_table(60), "gait_table_three_hourly": _gait_table(10_800), "gait_table_daily": _gait_table(86_400)}
 

@@ -172,6 +172,33 @@ def _stats(value: str = "{n}", suffix: str = "") -> str:
     return ", ".join(f"round({value.format(n=n)} + {13 * 10.0 ** -(d + 3)}, {d}) AS {n}{suffix}" for n in NAMES for d in [0 if n in ("radius", "diameter", "max_dist_home") else 3])
 
 
+def _corner(x: str, y: str, r: float) -> str:
+    """Area of the circle of radius ``r`` about the origin left of ``x`` and below ``y``."""
+    cap = lambda t: f"({r * r} * acos({t} / {r}) - {t} * sqrt({r * r} - {t} * {t}))"  # noqa: E731  # beyond t
+    half = lambda t: f"({t} * sqrt({r * r} - {t} * {t}) + {r * r} * asin({t} / {r})) / 2"
+    a, b = f"greatest(-{r}, least({r}, {x}))", f"greatest(-{r}, least({r}, {y}))"
+    inside = f"{a} * {b} + {half(a)} + {half(b)} + pi() * {r * r} / 4"
+    outside = f"CASE WHEN {a} >= 0 AND {b} >= 0 THEN pi() * {r * r} - {cap(a)} - {cap(b)} WHEN {a} < 0 AND {b} >= 0 THEN {cap(f'(-{a})')} WHEN {a} >= 0 THEN {cap(f'(-{b})')} ELSE 0 END"
+    return f"CASE WHEN {a} * {a} + {b} * {b} < {r * r} THEN {inside} ELSE {outside} END"
+
+
+def _circles(d: str, r: float, s: float) -> str:
+    """Area that two circles share whose centres are ``d`` apart."""
+    x, y = f"(({d} * {d} + {r * r - s * s}) / (2 * {d}))", f"(({d} * {d} + {s * s - r * r}) / (2 * {d}))"
+    return f"CASE WHEN {d} >= {r + s} THEN 0 WHEN {d} <= {abs(r - s)} THEN pi() * {min(r, s) ** 2} ELSE {r * r} * acos({x} / {r}) - {x} * sqrt(greatest({r * r} - {x} * {x}, 0)) + {s * s} * acos({y} / {s}) - {y} * sqrt(greatest({s * s} - {y} * {y}, 0)) END"
+
+
+_M = "(6371000 * pi() / 180)"
+INTEREST = PLACES + f""",
+ pl AS (SELECT who, place, z.y AS y, z.x AS x, CASE place % 4 WHEN 0 THEN 'cafe' WHEN 1 THEN 'park' WHEN 2 THEN 'office' ELSE 'shop' END AS kind FROM (SELECT grp AS who, unnest(range(len(places))) AS place, unnest(places) AS z FROM sp)),
+ pz AS (SELECT participant, t0, lat0 AS lat, lon0 AS lon, t1 - t0 AS s FROM tr WHERE status = 2),
+ nr AS (SELECT pz.*, who, place, kind, (x - lon) * {_M} * cos(radians(lat)) AS x1, (y - lat) * {_M} AS y1, 0.0004 * {_M} * cos(radians(lat)) AS w, 0.0004 * {_M} AS h FROM pz JOIN pl ON abs(y - lat) < 0.002 AND abs(x - lon) < 0.01),
+ a2 AS (SELECT *, CASE WHEN place % 3 = 0 THEN {_circles("greatest(sqrt(x1 * x1 + y1 * y1), 1e-12)", 50.0, 7.5)}
+   ELSE ({_corner("(x1 + w)", "(y1 + h)", 50.0)}) - ({_corner("x1", "(y1 + h)", 50.0)}) - ({_corner("(x1 + w)", "y1", 50.0)}) + ({_corner("x1", "y1", 50.0)}) END AS m2 FROM nr),
+ mt AS (SELECT * FROM a2 WHERE m2 > 1e-6),
+ kd AS (SELECT participant, t0, kind, sum(m2) AS m2 FROM mt GROUP BY ALL),
+ sr AS (SELECT participant, t0, kind, m2 / sum(m2) OVER w AS share, row_number() OVER (PARTITION BY participant, t0 ORDER BY round(m2, 3) DESC, kind) = 1 AS chosen FROM kd WINDOW w AS (PARTITION BY participant, t0))"""
+
 PAUSES = HOMES + f""",
  mq AS (SELECT tr.participant AS grp, lat0 AS lat, lon0 AS lon, t1 - t0 AS s, row_number() OVER (PARTITION BY tr.participant ORDER BY t0) AS i FROM tr JOIN hm USING (participant) WHERE status = 2 AND {_gc("lat0", "lon0", "h.y", "h.x")} > 15)""" + places("mq", 15, "mp", False)
 
@@ -210,5 +237,15 @@ FROM (SELECT grp AS participant, unnest(range(len(places))) AS place, unnest(lis
 FROM (SELECT grp AS participant, unnest(range(len(places))) AS place, unnest(list_transform(places, lambda z: z.y)) AS lat, unnest(list_transform(places, lambda z: z.x)) AS lon, unnest(list_transform(places, lambda z: z.s)) / 60 AS minutes FROM mp)""",
     "gps_daily_report": DAILY + ", " + ROUTINE[len(TRAJECTORY):].split(",", 1)[1].replace("ext AS", "ext2 AS", 1).replace("FROM ext)", "FROM ext2)").replace("\nSELECT dy.participant", ",\n ri AS (SELECT dy.participant", 1) + f""")
 SELECT participant, {_clock("ymd")}, {_units(True)}, round(routine + 13e-8, 5) AS physical_circadian_rhythm, round(routine_stratified + 13e-8, 5) AS physical_circadian_rhythm_stratified FROM sm LEFT JOIN ri USING (participant, bin_start)""",
+    "mobility_trace": TRAJECTORY + f""",
+ tk AS (SELECT participant, t0, lat0, lon0, unnest(range(ceil(t0 / 30)::BIGINT, ceil(t1 / 30)::BIGINT)) AS k FROM tr WHERE status = 2),
+ tb AS (SELECT participant, k, min(struct_pack(t0 := t0, lat0 := lat0, lon0 := lon0)) AS b FROM tk GROUP BY ALL)
+SELECT participant, k * 30 AS t, {_rounded(('lat', 'lon'), 6)} FROM (SELECT participant, k, b.lat0 AS lat, b.lon0 AS lon FROM tb)""",
+    "poi_time_share": INTEREST + """,
+ pj AS (SELECT pz.participant, pz.t0, pz.s / 60 AS m, kind, share, chosen FROM pz LEFT JOIN sr ON pz.participant = sr.participant AND pz.t0 = sr.t0)
+SELECT participant, coalesce(kind, 'other') AS kind, round(sum(CASE WHEN coalesce(chosen, true) THEN m ELSE 0 END) + 13e-5, 2) AS minutes, round(sum(m * coalesce(share, 0)) + 13e-5, 2) AS minutes_adjusted FROM pj GROUP BY ALL""",
+    "poi_log": INTEREST + """,
+ lg AS (SELECT DISTINCT participant, floor(t0 / 86400)::BIGINT AS day, who, place, kind FROM mt WHERE s >= 300)
+SELECT participant, day, '{"kind":"' || kind || '"}' AS tags, count(*) AS n_places FROM lg GROUP BY ALL""",
     "gps_hourly_report": HOURLY + f" SELECT participant, {_clock('ymdh')}, {_units(False)} FROM sm",
 }
