@@ -21,22 +21,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_by_ticks(files, submissions, ["participant", "survey_id"], "answers_ms", "timings_ms", 30 * 60_000)
 
 
-def _half(spark: SparkSession) -> int:
-    """Tasks that scans of few splits are dealt out over: half the cores, as dealing costs a shuffle."""
-    return max(1, spark.sparkContext.defaultParallelism // 2)
+def _cores(spark: SparkSession) -> int:
+    """Tasks that scans of fewer splits are dealt out over."""
+    return spark.sparkContext.defaultParallelism
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_corpus(load(spark, sf_dir, "documents"), least_tasks=_half(spark))
+    return encode_corpus(load(spark, sf_dir, "documents"), least_tasks=_cores(spark))
 
 
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_copies(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"), least_tasks=_half(spark))
+    found = near_copies(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"), least_tasks=_cores(spark))
     return found.withColumn("similarity", F.round(F.col("similarity") + 13e-9, 6))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"), least_tasks=_half(spark)).select("doc_id", "item_id")
+    return leaked_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"), least_tasks=_cores(spark)).select("doc_id", "item_id")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
