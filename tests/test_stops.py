@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 
-from tracelode.operators.stops import HOUR_MS, StopRule, shared_spots, stops_and_trips
+import numpy as np
+
+from tracelode.operators.stops import HOUR_MS, METRES_PER_DEGREE, StopRule, shared_spots, stops_and_trips
 
 BASE = 1_614_600_000_000 - 1_614_600_000_000 % HOUR_MS
 M = 1 / 111_195
@@ -73,3 +75,23 @@ def test_visits_of_one_spot_share_its_centre():
     spots = shared_spots([(10.0, 179.9999, 10), (10.0002, -179.9999, 30), (11.0, 0.0, 5)], 60.0)
     assert spots[0] == spots[1] and abs(spots[0][0] - 10.00015) < 1e-9 and abs(spots[0][1] + 179.99995) < 1e-6
     assert spots[2] == (11.0, 0.0) and shared_spots([], 60.0) == []
+
+
+def test_spots_of_parent_cells_are_those_of_all_comparisons():
+    rng = np.random.default_rng(4)
+    for lat0, lon0 in ((45.0, 7.0), (-70.0, 179.999), (0.0, 0.0), (88.5, 10.0)):
+        homes = np.stack([lat0 + rng.normal(0, 0.01, 30), lon0 + rng.normal(0, 0.02, 30)], axis=1)
+        stops = [(float(a + rng.normal(0, 2e-4)), float(o + rng.normal(0, 2e-4)), int(rng.integers(1, 50))) for a, o in homes[rng.integers(0, 30, 400)]]
+        centres, of = [], []
+        for lat, lon, n in stops:
+            away = [np.hypot(c[0] - lat, (c[1] - lon) * np.cos(np.radians(lat))) * METRES_PER_DEGREE for c in centres]
+            k = int(np.argmin(away)) if away else -1
+            if k < 0 or away[k] > 60:
+                centres.append([lat, lon, n])
+                k = len(centres) - 1
+            else:
+                c = centres[k]
+                c[:] = [(c[0] * c[2] + lat * n) / (c[2] + n), (c[1] * c[2] + lon * n) / (c[2] + n), c[2] + n]
+            of.append(k)
+        got = shared_spots(stops, 60.0)
+        assert np.allclose([g[0] for g in got], [centres[k][0] for k in of]) and np.allclose([(g[1] - centres[k][1] + 180) % 360 for g, k in zip(got, of)], 180)

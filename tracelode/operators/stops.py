@@ -1,7 +1,8 @@
 """Stops and trips from location pings.
 
-Pings are put into grid cells (fine cells of ``cell_m`` in a plane of the bucket) and run-length
-encoded. A dwell run keeps every ping in the cell of its running centre or a neighbour of it;
+Pings are put into grid cells of two levels and run-length encoded: fine cells of ``cell_m`` in a
+plane of the bucket tell where a ping is against its run, parent cells of eight by eight fine ones
+which visits of all days are near each other. A dwell run keeps every ping in the cell of its running centre or a neighbour of it;
 it ends only when ``leave_fixes`` pings in a row lie elsewhere (stray pings don't end it) or
 after a silence of more than ``silence_ms``. Runs of at least ``min_stop_ms`` are stops.
 
@@ -43,6 +44,12 @@ class StopRule:
     earliest_ms: int = 946_684_800_000  # clocks before 2000 are impossible
     bucket_ms: int = 24 * HOUR_MS
     same_spot_m: float = 60.0  # visits of one participant this near to each other share their spot
+    # A stop begins with its first ping that isn't part of the approach, and ends likewise: of the first
+    # ``approach_fixes`` pings at most a third are, those further from their median than ``approach_times`` the
+    # median distance, and ``approach_m`` at least. All pings stay in the stop's centre and count.
+    approach_fixes: int = 15
+    approach_times: float = 3.0
+    approach_m: float = 20.0
 
 
 _TOKEN = pa.schema([
@@ -75,13 +82,13 @@ def _path_m(lat: np.ndarray, lon: np.ndarray) -> float:
     return float((2 * EARTH_RADIUS_M * np.arcsin(np.minimum(1, np.sqrt(h)))).sum())
 
 
-def _arrival(x: np.ndarray, y: np.ndarray) -> int:
-    """How many pings at the head of a run still belong to the approach."""
+def _arrival(x: np.ndarray, y: np.ndarray, rule: StopRule) -> int:
+    """How many pings at the head of a run still belong to the approach; none of runs below six pings."""
     if len(x) < 6:
         return 0
-    head = slice(0, 15)
+    head = slice(0, rule.approach_fixes)
     away = np.hypot(x[head] - np.median(x[head]), y[head] - np.median(y[head]))
-    limit = max(20.0, 3 * float(np.median(away)))
+    limit = max(rule.approach_m, rule.approach_times * float(np.median(away)))
     k = 0
     while k < len(away) // 3 and away[k] > limit:
         k += 1
@@ -149,7 +156,7 @@ def day_tokens(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, rule: StopRule)
         edge = k < rule.leave_fixes or k >= len(runs) - rule.leave_fixes
         if t1 - t0 >= rule.min_stop_ms or edge:
             flush()
-            head, tail = _arrival(x[run], y[run]), _arrival(x[run][::-1], y[run][::-1])
+            head, tail = _arrival(x[run], y[run], rule), _arrival(x[run][::-1], y[run][::-1], rule)
             barrier = before >= rule.leave_fixes
             came, left = int(run[head]), int(run[len(run) - 1 - tail])  # approach and departure belong to the trips
             out.append((False, barrier, t0, t1, int(t[came]), int(t[left]), len(run), *centres[k], float(lat[came]), float(lon[came]), float(lat[left]), float(lon[left]), _path_m(lat[run], lon[run]), gap))
@@ -185,23 +192,52 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TOKEN, strict=True)], schema=_TOKEN)
 
 
-def shared_spots(stops: list[tuple[float, float, int]], within_m: float) -> list[tuple[float, float]]:
+class _SpotGrid:
+    """A participant's spots by parent cells of eight by eight fine cells, so a visit is compared with the spots around it alone."""
+
+    def __init__(self, within_m: float, cell_m: float):
+        self.size = 8 * cell_m / METRES_PER_DEGREE
+        self.within_m = within_m
+        self.cells: dict[tuple[int, int], list[int]] = {}
+        self.centres: list[list[float]] = []  # lat, lon, pings
+
+    def _cell(self, lat: float, lon: float) -> tuple[int, int]:
+        return math.floor(lat / self.size), math.floor(lon / self.size)
+
+    def _around(self, lat: float, lon: float) -> list[int]:
+        reach = self.within_m / METRES_PER_DEGREE
+        wide = reach / max(0.01, math.cos(math.radians(min(89.0, abs(lat) + reach))))
+        (south, west), (north, east) = self._cell(lat - reach, lon - wide), self._cell(lat + reach, lon + wide)
+        return sorted(k for y in range(south, north + 1) for x in range(west, east + 1) for k in self.cells.get((y, x), ()))
+
+    def add(self, lat: float, lon: float, n: int) -> int:
+        """Puts a visit to the nearest spot within reach, whose centre moves, or to a new one; gives its number."""
+        near = self._around(lat, lon)
+        if near:
+            c = np.array([self.centres[k] for k in near])
+            away = np.hypot(c[:, 0] - lat, (c[:, 1] - lon) * math.cos(math.radians(lat))) * METRES_PER_DEGREE
+            best = int(np.argmin(away))
+            if away[best] <= self.within_m:
+                spot = self.centres[near[best]]
+                old = self._cell(spot[0], spot[1])
+                total = spot[2] + n
+                spot[:] = [(spot[0] * spot[2] + lat * n) / total, (spot[1] * spot[2] + lon * n) / total, total]
+                if (new := self._cell(spot[0], spot[1])) != old:
+                    self.cells[old].remove(near[best])
+                    self.cells.setdefault(new, []).append(near[best])
+                return near[best]
+        self.centres.append([lat, lon, n])
+        self.cells.setdefault(self._cell(lat, lon), []).append(len(self.centres) - 1)
+        return len(self.centres) - 1
+
+
+def shared_spots(stops: list[tuple[float, float, int]], within_m: float, cell_m: float = StopRule.cell_m) -> list[tuple[float, float]]:
     """Centre of each stop (lat, lon, pings): the mean over all stops near the same centre, weighted by pings."""
     if not stops:
         return []
-    base = stops[0][1]
-    centres = np.zeros((len(stops), 3))
-    of, used = [], 0
-    for lat, lon, n in stops:
-        lon = base + (lon - base + 180) % 360 - 180
-        away = np.hypot(centres[:used, 0] - lat, (centres[:used, 1] - lon) * math.cos(math.radians(lat))) * METRES_PER_DEGREE
-        k = int(np.argmin(away)) if used else -1
-        if k < 0 or away[k] > within_m:
-            k, used = used, used + 1
-        centres[k, :2] = (centres[k, :2] * centres[k, 2] + np.array([lat, lon]) * n) / (centres[k, 2] + n)
-        centres[k, 2] += n
-        of.append(k)
-    return [(float(centres[k, 0]), float((centres[k, 1] + 180) % 360 - 180)) for k in of]
+    base, grid = stops[0][1], _SpotGrid(within_m, cell_m)
+    of = [grid.add(lat, base + (lon - base + 180) % 360 - 180, n) for lat, lon, n in stops]
+    return [(float(grid.centres[k][0]), float((grid.centres[k][1] + 180) % 360 - 180)) for k in of]
 
 
 class _Stitcher:
@@ -274,7 +310,7 @@ class _Stitcher:
     def end(self) -> list[tuple]:
         """The participant's rows, the visits of one spot given their common centre."""
         self._finish()
-        spots = shared_spots(self.stops, self.rule.same_spot_m)
+        spots = shared_spots(self.stops, self.rule.same_spot_m, self.rule.cell_m)
         return [(self.who, *row[:5], *spots[row[5]], *spots[row[6]]) for row in self.rows]
 
 
