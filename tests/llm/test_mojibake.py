@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,18 @@ def test_usual_garbled_tokens_are_found_where_a_text_agrees(spark):
     texts = CLEAN + variants
     _, found = run(spark, texts)
     assert found == set(range(len(CLEAN), len(texts)))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_share_of_texts_restored(spark):
+    """Clean commits read wrongly as a whole: all are found; how many are restored to the letter depends on the words known (1,000 documents here)."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    garbled = {r.doc_id for r in M.garbled_documents(spark, documents).collect()}
+    clean = [r for r in documents.where(F.octet_length("text") != F.char_length("text")).orderBy("doc_id").collect() if r.doc_id not in garbled][:45]
+    once = lambda text, codec: M._read(text.encode(), codec)
+    wrong = (lambda t: once(t, "latin-1"), lambda t: once(t, "cp1252"), lambda t: once(once(t, "cp1252"), "cp1252"))
+    made = [(10_000_000 + k, wrong[k % 3](r.text), r.text) for k, r in enumerate(clean)]
+    both = documents.unionByName(spark.createDataFrame([m[:2] for m in made], "doc_id long, text string"))
+    got = {r.doc_id: r.restored for r in M.restored_documents(spark, both).where("doc_id >= 10000000").collect()}
+    assert len(clean) == 45 and set(got) == {m[0] for m in made}
+    assert sum(got[k] == text for k, _, text in made) >= 0.7 * len(made)
