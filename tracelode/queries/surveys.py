@@ -25,10 +25,6 @@ def survey_sessionize_2h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(spark, sf_dir).drop("question_type", "question_index")
 
 
-#: Question columns of the wide form; more questions in a survey are an error.
-WIDTH = 20
-
-
 def survey_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``survey_id, question_id, config_id``: the surveys that list a question, numbered by id."""
     schema = "array<struct<question_id:string>>"
@@ -63,19 +59,20 @@ def most_common_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def responses_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every survey's instances in one table; question_k is the k-th question of the row's own survey."""
     events = S.survey_events(load(spark, sf_dir, "survey_timings"))
-    return S.responses_wide(S.number_events(events), _positions(spark, sf_dir, events), WIDTH)
+    return S.responses_wide(S.number_events(events), *_positions(spark, sf_dir, events))
 
 
-def _positions(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+def _positions(spark: SparkSession, sf_dir: str, events: DataFrame) -> tuple[DataFrame, int]:
+    """Places of the surveys' questions and how many the longest has; the columns can't be known without."""
     positions = S.question_positions(survey_config(spark, sf_dir), events)
-    fits = F.when(F.col("position") <= WIDTH, F.col("position")).otherwise(F.raise_error(F.lit(f"a survey has more than {WIDTH} questions")).cast("int"))
-    return positions.withColumn("position", fits)
+    return positions, positions.agg(F.max("position")).first()[0] or 0
 
 
 def responses_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The header rows above each survey's part of ``responses_wide``."""
     events = S.survey_events(load(spark, sf_dir, "survey_timings"))
-    return R.header_rows(_positions(spark, sf_dir, events), R.listed_questions(load(spark, sf_dir, "survey_history")), WIDTH)
+    positions, width = _positions(spark, sf_dir, events)
+    return R.header_rows(positions, R.listed_questions(load(spark, sf_dir, "survey_history")), width)
 
 
 def survey_opened_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,12 +353,14 @@ _PLACES = """,
  qp AS (SELECT survey_id, question_id, min(late) AS late FROM (SELECT DISTINCT survey_id, unnest(from_json(survey_json, '[{"question_id": "VARCHAR"}]')).question_id AS question_id, 0 AS late FROM survey_history WHERE survey_json IS NOT NULL
    UNION ALL SELECT survey_id, question_id, 1 FROM e WHERE answer IS NOT NULL) WHERE survey_id IS NOT NULL AND question_id IS NOT NULL GROUP BY ALL),
  po AS (SELECT survey_id, question_id, row_number() OVER (PARTITION BY survey_id ORDER BY late, question_id) AS position FROM qp)"""
-_COLUMNS = ", ".join(f"max(v) FILTER (position = {i}) AS question_{i}" for i in range(1, WIDTH + 1))
+#: The longest survey of the fixed history has seven questions; SQL has to name its columns.
+_WIDTH = 7
+_COLUMNS = ", ".join(f"max(v) FILTER (position = {i}) AS question_{i}" for i in range(1, _WIDTH + 1))
 ORACLE["responses_wide"] = _EVENTS + _PLACES + f""",
  fa AS (SELECT survey_id, participant, instance, question_id, max(struct_pack(t := t_ms, a := answer)).a AS v FROM n WHERE answer IS NOT NULL GROUP BY ALL),
  wd AS (SELECT survey_id, participant, instance, {_COLUMNS} FROM fa JOIN po USING (survey_id, question_id) GROUP BY ALL),
  ss AS (SELECT survey_id, participant, instance, min(t_ms) AS start_time, max(t_ms) AS end_time, (max(t_ms) - min(t_ms)) / 1000 AS survey_duration FROM n GROUP BY ALL)
-SELECT survey_id, participant, instance::BIGINT AS instance, start_time, end_time, survey_duration, {", ".join(f"question_{i}" for i in range(1, WIDTH + 1))} FROM ss LEFT JOIN wd USING (survey_id, participant, instance)"""
+SELECT survey_id, participant, instance::BIGINT AS instance, start_time, end_time, survey_duration, {", ".join(f"question_{i}" for i in range(1, _WIDTH + 1))} FROM ss LEFT JOIN wd USING (survey_id, participant, instance)"""
 ORACLE["responses_headers"] = _EVENTS + _PLACES + f""",
  hq AS (SELECT survey_id, unnest(from_json(survey_json, '[{{"question_id": "VARCHAR", "question_text": "VARCHAR", "question_type": "VARCHAR", "answers": [{{"text": "VARCHAR"}}]}}]')) AS q FROM survey_history WHERE survey_json IS NOT NULL),
  ab AS (SELECT survey_id, q.question_id AS question_id, max(q.question_text) AS x, max(q.question_type) AS y, max(coalesce(array_to_string(list_transform(q.answers, lambda a: a.text), ';'), '')) AS z FROM hq WHERE q.question_id IS NOT NULL GROUP BY ALL),
