@@ -5,8 +5,10 @@ import wave
 
 from pyspark.sql import functions as F
 
+from tracelode.functions import lists, timebins
 from tracelode.operators import schedule
 from tracelode.operators.sessions import sessions
+from tracelode.operators.survey_reports import audio_prompts, audio_rows, real_answer
 from tracelode.sources import study_folder as R
 from tracelode.sources.sinks import write_summaries
 from tracelode.streaming.live import live_collapse, live_counts, live_sessions
@@ -92,3 +94,23 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert live == batch[:-1]  # the last session is still open
     assert sum(r.n for r in drain(live_counts(stream(), ["who"], "at", "kind"), "s2")) == len(times) - 1
     assert len(drain(live_collapse(stream()), "s3")) == len(times) - 2
+
+
+def test_audio_surveys_are_known_by_their_prompts(spark, tmp_path):
+    prompt = lambda p: json.dumps([{"prompt": p}])
+    rows = [("s1", 1, prompt("old")), ("s1", 2, prompt("Describe your day")), ("s2", 1, prompt("x")), ("s2", 2, None), ("s3", 1, "[]"), ("s4", 1, "{broken")]
+    prompts = audio_prompts(spark.createDataFrame(rows, "survey_id string, version int, survey_json string"))
+    assert sorted(map(tuple, prompts.collect())) == [("Describe your day", "s1")]  # the latest version of s2 has none
+    heard = R.audio_recordings(spark, study(tmp_path / "study"))
+    config = spark.createDataFrame([("Describe your day", 4)], "prompt string, config_id int")
+    assert {(r.survey_folder, r.prompt, r.config_id) for r in audio_rows(heard, prompts, config).collect()} == {("s1", "Describe your day", 4)}
+    assert {r.config_id for r in audio_rows(heard, prompts, config.limit(0)).collect()} == {None}
+
+
+def test_real_answers_and_sampled_rows(spark):
+    df = spark.createDataFrame([("",), ("[]",), ("NO_ANSWER_SELECTED",), (None,), ("yes",)], "answer string")
+    assert [r.answer for r in df.where(real_answer(F.col("answer"))).collect()] == ["yes"]
+    rows = spark.range(1000)
+    some = lists.sample_rows(rows, 100, 3)
+    assert some.count() == some.distinct().count() == 100 and sorted(some.collect()) == sorted(lists.sample_rows(rows.repartition(7), 100, 3).collect())
+    assert spark.range(1).select(timebins.local_now("UTC").alias("a"), timebins.month_from_today().alias("b")).where("a IS NOT NULL AND datediff(b, current_date()) = 31").count() == 1
