@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions.instants import sensor_instant, stamp_ms, survey_instant
 from tracelode.operators.compaction import compact, manifest_files, published
-from tracelode.operators.packed import packed_choices
+from tracelode.operators.packed import packed_choices, split_values
 from tracelode.operators.regular_grid import regular_grid
 from tracelode.operators.sessions import sessions
 from tracelode.operators.stamps import normalise_stamps
@@ -86,6 +86,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the state machine alone makes of each distinct packed field of radio and checkbox questions."""
+    kind = F.lower(F.coalesce("question_type", F.lit("")))
+    rows = load(spark, sf_dir, "survey_answers").where(kind.contains("radio") | kind.contains("checkbox"))
+    texts = rows.select(F.explode(F.array("answer_options", "answer")).alias("text")).where(F.col("text").isNotNull()).distinct()
+    return split_values(texts, "text", ["text"])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_choices(load(spark, sf_dir, "survey_answers"), load(spark, sf_dir, "survey_history"), stamp_ms(F.col("file_time")))
 
@@ -147,6 +155,32 @@ WITH q AS (SELECT unnest(from_json(survey_json, '[{"question_id": "VARCHAR", "an
  m AS (SELECT n.*, val, strpos(s, val) AS place FROM n JOIN c USING (question_id) WHERE strpos(s, val) > 0)
 SELECT participant, survey_id, answers_ms, question_id, field, row_number() OVER (PARTITION BY participant, survey_id, answers_ms, question_id, field, t ORDER BY place) AS pos, val FROM m"""
 
+_BLANK, _MARK = " \\x{a0}\\x{2002}\\x{2003}\\x{2009}\\x{200b}\\x{202f}\\x{3000}\\x{feff}", ";,|\\t\\n\\r\\x{ff1b}\\x{ff0c}\\x{3001}"
+#: The state machine one character a step: st 0 between values, 1 in a quoted one, 2 in a plain one; s0 is a value's beginning, nq a quote that begins none.
+ORACLE["p7_values"] = f"""
+WITH RECURSIVE a AS (SELECT * FROM survey_answers WHERE contains(lower(question_type), 'radio') OR contains(lower(question_type), 'checkbox')),
+ f AS (SELECT DISTINCT t FROM (SELECT answer_options AS t FROM a UNION ALL SELECT answer FROM a) WHERE t IS NOT NULL AND regexp_replace(t, '^\\s+|\\s+$', '', 'g') NOT IN ('', 'NOT_PRESENTED', 'NO_ANSWER_SELECTED')),
+ m AS (
+  SELECT t, 1::BIGINT AS i, 0 AS st, '' AS q, '' AS buf, 0 AS depth, 0::BIGINT AS s0, 0::BIGINT AS nq, 0::BIGINT AS pos, NULL::VARCHAR AS val FROM f
+  UNION ALL
+  SELECT t,
+   CASE k WHEN 'lost' THEN s0 WHEN 'code' THEN i + 6 WHEN 'escape' THEN i + 2 WHEN 'twice' THEN i + 2 WHEN 'plain end' THEN i ELSE i + 1 END,
+   CASE k WHEN 'open quote' THEN 1 WHEN 'begin' THEN 2 WHEN 'lost' THEN 0 WHEN 'close quote' THEN 0 WHEN 'plain end' THEN 0 ELSE st END,
+   CASE k WHEN 'open quote' THEN c ELSE q END,
+   CASE k WHEN 'open quote' THEN '' WHEN 'code' THEN buf || chr(('0x' || substr(t, i + 2, 4))::INT) WHEN 'escape' THEN buf || CASE nx WHEN 'n' THEN chr(10) WHEN 't' THEN chr(9) WHEN 'r' THEN chr(13) ELSE nx END WHEN 'twice' THEN buf || c WHEN 'inside' THEN buf || c ELSE buf END,
+   CASE k WHEN 'in' THEN depth + 1 WHEN 'out' THEN depth - 1 ELSE depth END,
+   CASE WHEN k IN ('open quote', 'begin') THEN i ELSE s0 END,
+   CASE k WHEN 'lost' THEN s0 ELSE nq END,
+   CASE WHEN k IN ('close quote', 'plain end') THEN pos + 1 ELSE pos END,
+   CASE k WHEN 'close quote' THEN buf WHEN 'plain end' THEN regexp_replace(substr(t, s0, i - s0), '^\\s+|\\s+$', '', 'g') END
+  FROM (SELECT *, CASE
+    WHEN st = 0 THEN CASE WHEN regexp_full_match(c, '[{_BLANK}{_MARK}]') THEN 'pass' WHEN c IN (']', '}}', ')') AND depth > 0 THEN 'out' WHEN c IN ('"', chr(39)) AND nq <> i THEN 'open quote' WHEN c IN ('[', '(', '{{') THEN 'in' ELSE 'begin' END
+    WHEN st = 1 THEN CASE WHEN i > length(t) THEN 'lost' WHEN c = chr(92) AND nx = 'u' AND regexp_full_match(substr(t, i + 2, 4), '[0-9A-Fa-f]{{4}}') THEN 'code' WHEN c = chr(92) AND nx <> '' THEN 'escape' WHEN c <> q THEN 'inside' WHEN nx = q THEN 'twice'
+      WHEN regexp_matches(substr(t, i + 1), '^[{_BLANK}]*([{_MARK}\\])}}]|$)') OR regexp_matches(substr(t, i + 1), '^[{_BLANK}]+' || q) THEN 'close quote' ELSE 'inside' END
+    ELSE CASE WHEN i > length(t) OR regexp_full_match(c, '[{_MARK}]') OR depth > 0 AND c IN (']', '}}', ')') THEN 'plain end' ELSE 'go on' END END AS k
+   FROM (SELECT *, substr(t, i, 1) AS c, substr(t, i + 1, 1) AS nx FROM m WHERE i <= length(t) OR st <> 0)))
+SELECT t AS text, pos, val FROM m WHERE val IS NOT NULL"""
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_sessions": p2_sessions,
@@ -159,4 +193,5 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_stops_trips": p6_stops_trips,
     "p7_found": p7_found,
+    "p7_values": p7_values,
 }
