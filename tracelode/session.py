@@ -9,15 +9,11 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: What results depend on; set in every session that tables are loaded with.
-PINNED = {"spark.sql.session.timeZone": "UTC"}
-#: What speed depends on; set only in sessions made here.
-TUNED = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # HotSpot never compiles methods beyond this; such stages run operator by operator instead.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
-}
+#: Set in every session that tables are loaded with: what results depend on, and the length beyond which HotSpot
+#: never compiles a method (such stages run operator by operator instead of being interpreted as a whole).
+PINNED = {"spark.sql.session.timeZone": "UTC", "spark.sql.codegen.hugeMethodLimit": "8000"}
+#: Set only in sessions made here.
+TUNED = {"spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
 
 
 def build_session(app: str = "tracelode", master: str | None = None, **conf: str) -> SparkSession:
